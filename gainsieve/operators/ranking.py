@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gainsieve.functions.entropy import entropy_from_sums, n_log_n
+from gainsieve.functions.entropy import entropy_from_sums, entropy_of, n_log_n
 from gainsieve.functions.text import is_filled, is_target_text, numeric_target, short_name, stripped, text_to_double
 from gainsieve.functions.vectors import feature_name
 from gainsieve.operators.profile import ClassProfile, class_index, class_profile
@@ -156,31 +157,46 @@ def pooled_gain(
     return scored.select("pool", "feature_id", "n_cells", score.alias("score"))
 
 
-def fold_gain(cells: DataFrame, folds: int, profile: ClassProfile) -> DataFrame:
-    """``fold, feature_id, score`` where each fold is scored on the rows outside of it.
+def training_profiles(df: DataFrame, folds: Iterable[int], label: str = "label") -> dict[int, ClassProfile]:
+    """Class profile of the rows outside each fold; folds x classes counts reach the driver."""
+    counts: dict[int, dict[Any, int]] = {f: {} for f in folds}
+    per_fold = df.where(F.col(label).isNotNull()).groupBy("fold", label).agg(F.count("*").alias("n"))
+    for row in per_fold.collect():
+        for fold, training in counts.items():
+            if row["fold"] != fold:
+                training[row[label]] = training.get(row[label], 0) + row["n"]
+    return {f: ClassProfile(sum(c.values()), entropy_of(c.values()), c) for f, c in counts.items()}
 
-    ``cells`` carries ``fold``. All folds come from one aggregation: the counts of a
-    training set are the counts of all rows less those of the fold.
+
+def fold_gain(cells: DataFrame, profiles: Mapping[int, ClassProfile]) -> DataFrame:
+    """``fold, feature_id, score``: the gain of each feature on the rows outside the fold.
+
+    ``cells`` carries ``fold``. All folds come from one aggregation, with the counts of
+    the training sets side by side.
     """
-    classes = profile.classes
-    indexed = cells.select("fold", "feature_id", "value", class_index(F.col("cls"), classes).alias("ci"))
-    per_fold = (
-        indexed.groupBy("feature_id", "value", "ci")
-        .agg(*[F.count_if(F.col("fold") != f).alias(f"f{f}") for f in range(folds)])
-        .groupBy("feature_id", "value")
-        .agg(
-            *[F.sum(f"f{f}").alias(f"n{f}") for f in range(folds)],
-            *[F.sum(n_log_n(F.col(f"f{f}"))).alias(f"s{f}") for f in range(folds)],
-        )
+    folds = sorted(profiles)
+    per_class = cells.groupBy("feature_id", "value", "cls").agg(
+        *[F.count_if(F.col("fold") != f).alias(f"c{f}") for f in folds]
+    )
+    per_value = per_class.groupBy("feature_id", "value").agg(
+        *[F.sum(f"c{f}").alias(f"n{f}") for f in folds],
+        *[F.sum(n_log_n(F.col(f"c{f}"))).alias(f"s{f}") for f in folds],
     )
-    features = per_fold.groupBy("feature_id").agg(
-        *[F.sum(n_log_n(F.col(f"n{f}")) - F.col(f"s{f}")).alias(f"spread{f}") for f in range(folds)],
-        *[F.sum(f"n{f}").alias(f"n{f}") for f in range(folds)],
+    features = per_value.groupBy("feature_id").agg(
+        *[F.sum(f"n{f}").alias(f"n{f}") for f in folds],
+        *[F.sum(n_log_n(F.col(f"n{f}")) - F.col(f"s{f}")).alias(f"spread{f}") for f in folds],
     )
     as_rows = F.array(
-        *[F.struct(F.lit(f).alias("fold"), F.col(f"spread{f}").alias("spread"), F.col(f"n{f}").alias("n")) for f in range(folds)]
+        *[
+            F.struct(
+                F.lit(f).alias("fold"),
+                F.col(f"n{f}").alias("n_cells"),
+                (F.lit(profiles[f].entropy) - F.col(f"spread{f}") / F.lit(float(profiles[f].total))).alias("score"),
+            )
+            for f in folds
+        ]
     )
-    return features.select("feature_id", F.inline(as_rows)).where("n > 0")
+    return features.select("feature_id", F.inline(as_rows)).where("n_cells > 0")
 
 
 # ---- order and display -------------------------------------------------------------
