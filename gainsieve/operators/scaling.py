@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,25 +16,17 @@ def column_bounds(df: DataFrame, vector: str = "features") -> DataFrame:
     return cells.groupBy("pos").agg(F.min("x").alias("low"), F.max("x").alias("high"))
 
 
-def bounds_row(df: DataFrame, width: int, vector: str = "features") -> DataFrame:
-    """The bounds as one row of two arrays, as wide as one data row.
+def low_and_span(df: DataFrame, width: int, vector: str = "features") -> tuple[list[float | None], list[float]]:
+    """The bounds by position, on the driver: two lists as long as one data row is wide.
 
-    A position without any number keeps null, a constant one gets span 1.
+    A position without any number has no low; a constant one gets span 1.
     """
-    ordered = column_bounds(df, vector).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("low", "high")))).alias("b")
-    )
-    positions = F.sequence(F.lit(0), F.lit(width - 1))
-    return ordered.select(
-        F.transform(positions, lambda p: F.try_element_at("b", p)["low"]).alias("low"),
-        F.transform(
-            positions,
-            lambda p: F.when(
-                F.try_element_at("b", p)["high"] > F.try_element_at("b", p)["low"],
-                F.try_element_at("b", p)["high"] - F.try_element_at("b", p)["low"],
-            ).otherwise(F.lit(1.0)),
-        ).alias("span"),
-    )
+    low: list[float | None] = [None] * width
+    span = [1.0] * width
+    for pos, least, most in column_bounds(df, vector).where(F.col("pos") < width).collect():
+        low[pos] = least
+        span[pos] = most - least if most > least else 1.0
+    return low, span
 
 
 def first_vector(df: DataFrame, order: Sequence[str], vector: str = "features") -> DataFrame:
@@ -48,9 +41,9 @@ def min_max_scale(
     """Every position scaled to [0, 1]; a constant one becomes 0. ``skip`` leaves them alone."""
     if skip:
         return df
-    bounds = bounds_row(df, width, vector)
-    shifted = F.zip_with(F.col(vector), bounds.select("low").scalar(), lambda x, low: x - low)
-    return df.withColumn(vector, F.zip_with(shifted, bounds.select("span").scalar(), lambda x, span: x / span))
+    low, span = (F.from_json(F.lit(json.dumps(x)), "array<double>") for x in low_and_span(df, width, vector))
+    shifted = F.zip_with(F.col(vector), low, lambda x, least: x - least)
+    return df.withColumn(vector, F.zip_with(shifted, span, lambda x, size: x / size))
 
 
 def scale_guarded(
