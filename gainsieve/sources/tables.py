@@ -12,6 +12,9 @@ from gainsieve.functions.vectors import feature_names
 # Header names that mark the target column, whatever their case.
 TARGET_NAMES = ("label", "class", "avclass", "target")
 
+# A quote inside a quoted cell is doubled.
+QUOTE = '"'
+
 
 def reject_duplicates(names: Iterable[str]) -> None:
     repeated = sorted(n for n, times in Counter(names).items() if times > 1)
@@ -38,6 +41,7 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """
     reader = (
         spark.read.option("sep", sep)
+        .option("escape", QUOTE)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
     )
@@ -69,7 +73,7 @@ def narrow(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", QUOTE).csv(path)
 
 
 def written_bytes(spark: SparkSession, path: str) -> int:

@@ -13,11 +13,11 @@ from gainsieve.session import scratch_path
 from registered.tables import rounded, table
 
 CLASSIFIERS = ["click", "error", "purchase", "signup", "view"]
-RUN = F.col("user_id") % 12 + 1
+RUN = "CAST(user_id % 12 + 1 AS INT) AS exp_id"
 
 
 def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = table(spark, sf_dir, "events").select(RUN.cast("int").alias("exp_id"), "event_type", "value")
+    events = table(spark, sf_dir, "events").selectExpr(RUN, "event_type", "value")
     results = events.groupBy("exp_id", F.col("event_type").alias("classifier")).agg(
         F.round(F.avg("value"), 6).alias("accuracy")
     )

@@ -1,0 +1,201 @@
+import random
+from collections import Counter
+from dataclasses import replace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gainsieve.models import classifiers as C
+from gainsieve.models import kernels, naive_bayes, neighbours
+from gainsieve.models.boosting import Stump, boosted_prediction, fit_boosted_stumps
+from gainsieve.models.evaluation import evaluate
+from gainsieve.operators.folds import folded_table
+from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate, spark_settings, sweep
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(150):
+        v = [rng.gauss(0, 1) for _ in range(4)]
+        rows.append((i, v, int(v[0] + v[1] > 0)))
+    df = spark.createDataFrame(rows, "key long, features array<double>, label int")
+    folded = folded_table(df, "key")
+    return replace(folded, df=folded.df.repartition(4).cache())
+
+
+def by_key(predicted):
+    return {r["row_key"]: int(r["prediction"]) for r in predicted.collect()}
+
+
+def arrays(table):
+    rows = sorted(table.df.collect(), key=lambda r: r["row_key"])
+    return (
+        np.array([r["features"] for r in rows]),
+        np.array([r["label_index"] for r in rows]),
+        np.array([r["fold"] for r in rows]),
+    )
+
+
+def test_naive_bayes_equals_brute_force(table):
+    x, y, folds = arrays(table)
+    predicted = by_key(naive_bayes.predict_folds(table))
+    for f in range(5):
+        train = folds != f
+        smoothing = 1e-9 * x[train].var(axis=0).max()
+        scores = []
+        for c in (0, 1):
+            part = x[train & (y == c)]
+            var = part.var(axis=0) + smoothing
+            log = -0.5 * np.log(2 * np.pi * var).sum() - 0.5 * ((x - part.mean(axis=0)) ** 2 / var).sum(axis=1)
+            scores.append(np.log(len(part) / train.sum()) + log)
+        for i in np.flatnonzero(~train):
+            assert predicted[i] == int(np.argmax([s[i] for s in scores]))
+
+
+@pytest.mark.parametrize("block_rows", [20, 10_000])
+def test_neighbours_equal_brute_force(table, block_rows):
+    x, y, folds = arrays(table)
+    predicted = by_key(neighbours.predict_folds(table, block_rows=block_rows))
+    for i in range(len(x)):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), 9)
+        near = sorted((d[j], j) for j in range(len(x)) if folds[j] != folds[i])[:5]
+        votes = Counter(int(y[j]) for _, j in near)
+        assert predicted[i] == min(votes, key=lambda c: (-votes[c], c))
+
+
+def test_neighbours_with_copies(spark):
+    """A third of the rows are one point: ties go to the lower key."""
+    rows = [(i, [0.0, 0.0] if i % 3 == 0 else [float(i), 1.0], i % 2) for i in range(60)]
+    table = folded_table(spark.createDataFrame(rows, "key long, features array<double>, label int"), "key")
+    near = neighbours.nearest(table, block_rows=10).where("row_key = 30").collect()
+    fold = {r["row_key"]: r["fold"] for r in table.df.collect()}
+    best = sorted((r["distance"], r["other_key"]) for r in near)[:5]
+    assert best == [(0.0, k) for k in [k for k in range(0, 60, 3) if fold[k] != fold[30]][:5]]
+
+
+def test_landmark_map_reproduces_the_kernel(spark, table):
+    x, _, _ = arrays(table)
+    for kernel in (kernels.rbf_kernel(0.5), kernels.polynomial_kernel(0.5)):
+        mapped = kernels.kernel_map(x, kernel)
+        rows = table.df.select("row_key", mapped("features").alias("z")).orderBy("row_key").collect()
+        z = np.array([r["z"] for r in rows])
+        assert z @ z.T == pytest.approx(kernel(x, x), abs=1e-5)
+
+
+def test_landmarks_are_bounded(table):
+    assert len(kernels.landmarks(table.df, table.rows, 1, wanted=20)) <= 20
+    same = [kernels.landmarks(table.df.repartition(n), table.rows, 1, wanted=20) for n in (1, 5)]
+    assert (same[0] == same[1]).all()
+
+
+def boosted_by_hand(x, y, thresholds, rounds):
+    """SAMME with the stump that leaves the least weighted Gini impurity."""
+    weight, votes = np.ones(len(y)), np.zeros((len(y), 2))
+    for _ in range(rounds):
+        best = None
+        for f in range(x.shape[1]):
+            for t in thresholds[f]:
+                below = x[:, f] <= t
+                sides = [np.array([weight[s & (y == c)].sum() for c in (0, 1)]) for s in (below, ~below)]
+                impurity = sum(s.sum() - (s**2).sum() / s.sum() for s in sides if s.sum() > 0)
+                if best is None or impurity < best[0] - 1e-12:
+                    best = (impurity, below, [int(np.argmax(s)) for s in sides])
+        guess = np.where(best[1], best[2][0], best[2][1])
+        error = weight[guess != y].sum() / weight.sum()
+        alpha = np.log((1 - error) / error)
+        votes[np.arange(len(y)), guess] += alpha
+        weight = weight * np.exp(alpha * (guess != y))
+    return votes.argmax(axis=1)
+
+
+def test_boosting_equals_brute_force(spark):
+    """Few values per feature, so that every threshold is a candidate on both sides."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        v = [float(rng.randrange(6)) for _ in range(3)]
+        rows.append((v, int(v[0] + v[1] * rng.choice([0.5, 1.0]) > 5)))
+    df = spark.createDataFrame(rows, "features array<double>, label_index int")
+    stumps = fit_boosted_stumps(df, 2, rounds=8)
+    assert len(stumps) == 8
+    found = [int(r[0]) for r in df.select(boosted_prediction(stumps, 2, F.col("features"))).collect()]
+    x, y = np.array([v for v, _ in rows]), np.array([c for _, c in rows])
+    thresholds = [[t + 0.5 for t in range(5)]] * 3
+    assert np.mean(np.array(found) == boosted_by_hand(x, y, thresholds, 8)) > 0.97
+
+
+def test_boosted_vote_ties_go_to_the_lower_class(spark):
+    stumps = [Stump(0, 0.0, 2, 1, 1.0), Stump(0, 0.0, 1, 2, 1.0)]
+    df = spark.createDataFrame([([1.0],)], "features array<double>")
+    assert df.select(boosted_prediction(stumps, 3, F.col("features"))).first()[0] == 1.0
+
+
+QUICK = {
+    "Random Forest": C.random_forest(trees=10, depth=5),
+    "Decision Tree": C.decision_tree(),
+    "Gradient Boosting": C.gradient_boosting(rounds=5),
+    "AdaBoost": C.ada_boost(rounds=5),
+    "KNN": neighbours.predict_folds,
+    "Naive Bayes": naive_bayes.predict_folds,
+    "SVM RBF": C.kernel_svm("rbf"),
+    "SVM Poly": C.kernel_svm("poly"),
+    "MLP": C.perceptron(hidden=(8,), iterations=60),
+    "Logistic Regression": C.logistic_regression(),
+}
+
+
+def test_every_classifier_beats_the_majority(spark, table):
+    assert set(QUICK) == set(C.FULL_SET)
+    again = spark.createDataFrame(table.df.collect(), table.df.schema).withColumnRenamed("label_index", "label")
+    table = folded_table(again.drop("fold"), "row_key", folds=2)
+    _, y, _ = arrays(table)
+    majority = max(Counter(y.tolist()).values()) / len(y)
+    for row in evaluate(table, QUICK).collect():
+        assert row["status"] == "ok"
+        assert row["accuracy"] > majority + 0.1, row
+
+
+def test_failures_are_reported(spark, table):
+    def broken(_):
+        raise RuntimeError("no model")
+
+    row = evaluate(table, {"broken": broken}).first()
+    assert (row["accuracy"], row["status"]) == (None, "failed")
+    small = folded_table(spark.createDataFrame([(i, [1.0], i % 2) for i in range(8)], "key int, features array<double>, label int"), "key")
+    assert tuple(evaluate(small, {"x": broken}).first()) == ("x", 0.0, 0.0, "too few rows")
+
+
+def test_deviation_is_of_the_population(spark):
+    df = spark.createDataFrame([(0, 1, 0.5), (1, 1, 1.0)], "fold int, n_rows int, accuracy double")
+    assert tuple(C.accuracy_summary(df).first()) == (0.75, 0.25)
+
+
+def test_experiment(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        y = i % 2
+        rows.append((i, [float(rng.randrange(5)) for _ in range(11)] + [float(y * 3 + rng.randrange(4))], y))
+    df = spark.createDataFrame(rows, "key long, features array<double>, label int")
+    nb = {"Naive Bayes": naive_bayes.predict_folds}
+    ranked, results = rank_and_evaluate(df, "key", nb, k=10)
+    assert ranked.orderBy("rank").first()["feature"] == "feature_0011"
+    assert results.first()["accuracy"] > 0.7
+    assert evaluate_within_folds(df, "key", nb, k=10).first()["accuracy"] > 0.7
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    runs, per_run = sweep(df, "key", [(1, 1, 1, 100, "one"), (8, 3, 3, 1000, "two")], nb, k=10)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert [tuple(r)[:4] for r in runs.orderBy("exp_id").collect()] == [(1, 1, 1, 100), (8, 3, 3, 1000)]
+    assert {r["accuracy"] for r in per_run.collect()} == {results.first()["accuracy"]}
+
+
+def test_settings_are_restored_after_an_error(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(RuntimeError):
+        with spark_settings(spark, 3, 100):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+            raise RuntimeError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
