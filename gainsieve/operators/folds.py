@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gainsieve.operators.ordering import any_of, is_up_to, row_ranks
+from gainsieve.operators.ordering import any_of, row_ranks
 from gainsieve.operators.profile import MAX_LISTED_CLASSES, class_index
 from gainsieve.operators.sampling import shuffle_key
 
@@ -68,7 +68,8 @@ def stratified_folds(
     """Add ``fold``: each class is cut into ``folds`` runs of consecutive rows in ``order``.
 
     Only the last key of each run is looked up (classes x folds values), on the key
-    columns; the fold is then a comparison, so wide rows are neither sorted nor shuffled.
+    columns; the fold is then a comparison with these few, so wide rows are neither sorted
+    nor shuffled.
     """
     counts = counts or class_facts(df, label, order)
     if max(counts.values()) < folds:
@@ -78,11 +79,15 @@ def stratified_folds(
     found = row_ranks(df.where(F.col(label).isNotNull()), [label], order).where(wanted).collect()
     keys = {(row[label], row["rank"]): [row[c] for c in order] for row in found}
 
-    fold = F.lit(None).cast("int")
-    for cls, ranks in ends.items():
-        passed = [F.lit(1) if r == 0 else (~is_up_to(order, keys[cls, r])).cast("int") for r in ranks]
-        fold = F.when(F.col(label) == F.lit(cls), sum(passed, F.lit(0))).otherwise(fold)
-    return df.where(F.col(label).isNotNull()).withColumn("fold", fold)
+    # One row per class, 1000 at most.
+    key_type = T.StructType([df.schema[c] for c in order])
+    bounds = df.sparkSession.createDataFrame(
+        [(cls, [keys.get((cls, r)) for r in ranks]) for cls, ranks in ends.items()],
+        T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("_ends", T.ArrayType(key_type))]),
+    )
+    # A run that ends at rank 0 is empty and passed by every row.
+    passed = F.filter("_ends", lambda end: end.isNull() | (F.struct(*order) > end))
+    return df.join(F.broadcast(bounds), label).withColumn("fold", F.size(passed)).drop("_ends")
 
 
 def held_out(keys: Sequence[str], seed: int = 42, tenths: int = 3) -> Column:

@@ -66,11 +66,9 @@ def class_profile(df: DataFrame, label: str = "label", most: int = MAX_LISTED_CL
 
 
 def class_index(label: Column, classes: Sequence[Any]) -> Column:
-    """Place of the label in ``classes``."""
-    index = F.lit(None).cast("int")
-    for place, cls in reversed(list(enumerate(classes))):
-        index = F.when(label == F.lit(cls), F.lit(place)).otherwise(index)
-    return index
+    """Place of the label in ``classes``, null for any other label."""
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), label)
+    return F.nullif(place.cast("int") - 1, F.lit(-1))
 
 
 def dataset_profile(

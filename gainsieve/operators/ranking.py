@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gainsieve.functions.entropy import entropy_from_sums, entropy_of, n_log_n
-from gainsieve.functions.text import is_filled, is_target_text, numeric_target, short_name, stripped, text_to_double
+from gainsieve.functions.text import is_target_text, numeric_target, short_name, stripped, text_to_double
 from gainsieve.functions.vectors import feature_name
-from gainsieve.operators.profile import ClassProfile, class_index, class_profile
+from gainsieve.operators.profile import ClassProfile, class_profile
 from gainsieve.operators.selection import FEATURES_KEPT
-from gainsieve.sources.tables import feature_columns, reject_duplicates, resolve_target
+from gainsieve.sources.tables import CellTable, feature_columns, reject_duplicates, resolve_target
 
 # Up to this many classes the counts of one value stand side by side in one row.
 MAX_SIDE_BY_SIDE = 16
@@ -41,18 +41,44 @@ def melt_columns(
     column, which is slow for thousands of them.
     """
     reject_duplicates(columns)
-    text = [F.col(f"`{c}`").cast("string") for c in columns]
-    values = F.array(*[text_to_double(t) if numeric else stripped(t) for t in text])
-    cells = df.select(*keep, F.col(label).alias("cls"), F.posexplode(values).alias("feature_id", "value"))
-    return cells.where(F.col("value").isNotNull() if numeric else F.col("value") != "")
+    typed = numeric and all(isinstance(df.schema[c].dataType, T.NumericType) for c in columns)
+    values = F.array(*[F.col(f"`{c}`").cast("double" if typed else "string") for c in columns])
+    cells = _melted(df.select(*keep, label, values.alias("_values")), label, keep)
+    return cells.where("value IS NOT NULL") if typed else _parsed(cells, numeric)
+
+
+def _melted(rows: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFrame:
+    return rows.select(*keep, F.col(label).alias("cls"), F.posexplode("_values").alias("feature_id", "value"))
+
+
+def _parsed(cells: DataFrame, numeric: bool) -> DataFrame:
+    """Text cells as categories, missing ones left out.
+
+    Parsing after the melt is one compiled expression, however many columns there are.
+    """
+    if numeric:
+        return cells.withColumn("value", text_to_double(F.col("value"))).where("value IS NOT NULL")
+    return cells.withColumn("value", stripped(F.col("value"))).where("value <> ''")
+
+
+def labelled_cells(table: CellTable, place: int, numeric: bool = False) -> DataFrame:
+    """``cells, label`` of the rows whose cell at ``place`` is a usable target."""
+    text = F.get("cells", F.lit(place))
+    label = numeric_target(text) if numeric else stripped(text)
+    return table.df.where(is_target_text(text)).select("cells", label.alias("label")).where("label IS NOT NULL")
+
+
+def melt_cells(rows: DataFrame, place: int, width: int, numeric: bool = False) -> DataFrame:
+    """Filled cells but the target at ``place``; ids are places among the other columns."""
+    others = F.concat(F.slice("cells", 1, place), F.slice("cells", place + 2, width))
+    return _parsed(_melted(rows.select("label", others.alias("_values")), "label"), numeric)
 
 
 def melt_vector(
     df: DataFrame, vector: str = "features", label: str = "label", keep: Sequence[str] = ()
 ) -> DataFrame:
     """The same for vectors; ids are positions."""
-    cells = df.select(*keep, F.col(label).alias("cls"), F.posexplode(vector).alias("feature_id", "value"))
-    return cells.where("value IS NOT NULL")
+    return _melted(df.select(*keep, label, F.col(vector).alias("_values")), label, keep).where("value IS NOT NULL")
 
 
 # ---- counts ------------------------------------------------------------------------
@@ -72,13 +98,15 @@ def _value_spread(cells: DataFrame, profile: ClassProfile) -> DataFrame:
     """
     counts = profile.counts
     if counts is not None and len(counts) <= MAX_SIDE_BY_SIDE:
-        indexed = cells.select("feature_id", "value", class_index(F.col("cls"), profile.classes).alias("ci"))
         sides = [f"c{i}" for i in range(len(counts))]
-        values = indexed.groupBy("feature_id", "value").agg(
-            F.count("ci").alias("n"), *[F.count_if(F.col("ci") == i).alias(c) for i, c in enumerate(sides)]
+        values = cells.groupBy("feature_id", "value").agg(
+            *[F.count_if(F.col("cls") == F.lit(c)).alias(side) for c, side in zip(profile.classes, sides)]
         )
+        total = sum((F.col(c) for c in sides), F.lit(0))
         within = sum((n_log_n(F.col(c)) for c in sides), F.lit(0.0))
-        return values.select("feature_id", "value", "n", *sides, (n_log_n(F.col("n")) - within).alias("spread"))
+        return values.select(
+            "feature_id", "value", total.alias("n"), *sides, (n_log_n(total) - within).alias("spread")
+        )
     values = contingency(cells).groupBy("feature_id", "value").agg(
         F.sum("n").alias("n"), F.sum(n_log_n(F.col("n"))).alias("within")
     )
@@ -239,6 +267,15 @@ def rank_table(df: DataFrame, target: str | None = None, numeric: bool = False,
     return with_names(information_gain(melt_columns(rows, columns, numeric=numeric), profile), columns)
 
 
+def rank_cells(table: CellTable, target: str | None = None, numeric: bool = False) -> DataFrame:
+    """The same for a CSV table read as cells."""
+    target = target or resolve_target(table.columns)
+    place = table.columns.index(target)
+    rows = labelled_cells(table, place, numeric)
+    scores = information_gain(melt_cells(rows, place, len(table.columns), numeric), class_profile(rows))
+    return with_names(scores, feature_columns(table.columns, target))
+
+
 def rank_vectors(df: DataFrame, vector: str = "features", label: str = "label") -> DataFrame:
     """The same for the elements of a vector column, named by position."""
     rows = df.where(F.col(label).isNotNull())

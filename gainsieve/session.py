@@ -45,8 +45,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` out once, so that later jobs read it instead of recomputing it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` below the shared folder and read it back.
+
+    Later jobs then scan a columnar table instead of recomputing ``df``, and the loss of
+    an executor costs no more than its tasks.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
+from gainsieve.functions.text import numeric_target, stripped, text_to_double
 from gainsieve.functions.vectors import feature_names
 
 # Header names that mark the target column, whatever their case.
@@ -15,6 +18,9 @@ TARGET_NAMES = ("label", "class", "avclass", "target")
 # A quote inside a quoted cell is doubled.
 QUOTE = '"'
 
+# A character that no text file holds, so that a line stays one field.
+NO_SEPARATOR = "\x01"
+
 
 def reject_duplicates(names: Iterable[str]) -> None:
     repeated = sorted(n for n, times in Counter(names).items() if times > 1)
@@ -33,26 +39,80 @@ def feature_columns(columns: Sequence[str], target: str) -> list[str]:
     return [c for c in columns if c != target]
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV file, folder or glob with one header per file, every cell as trimmed text.
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, list[str]]:
+    """The first line of the first file, as it stands and as names."""
+    line = _line_reader(spark).csv(path).limit(1).collect()
+    if not line:
+        raise ValueError(f"no header in {path}")
+    text = line[0][0]
+    cells = spark.range(1).select(split_cells(F.lit(text), sep)).collect()[0][0]
+    names = [cell.strip() for cell in cells]
+    reject_duplicates(names)
+    return text, names
+
+
+def _line_reader(spark: SparkSession) -> DataFrameReader:
+    """Whole lines through the CSV source, which knows the header of each file."""
+    return spark.read.option("sep", NO_SEPARATOR).option("quote", "")
+
+
+def split_cells(line: Column, sep: str = ",") -> Column:
+    """The cells of a line; quoted ones may hold the separator, and quotes doubled."""
+    exact = re.escape(sep)
+    pieces = F.regexp_extract_all(
+        F.concat(F.lit(sep), line), F.lit(f'{exact}\\s*("([^"]|"")*+"[^{exact}]*|[^{exact}]*)'), F.lit(1)
+    )
+    unquoted = F.transform(
+        pieces,
+        lambda piece: F.when(
+            piece.startswith(QUOTE),
+            F.replace(F.regexp_extract(piece, '^"(([^"]|"")*+)"', 1), F.lit(QUOTE * 2), F.lit(QUOTE)),
+        ).otherwise(piece),
+    )
+    return F.when(line.contains(QUOTE), unquoted).otherwise(F.split(line, exact))
 
-    Each file's header is compared with the first one, so files with other columns fail
-    instead of being read into the wrong ones.
+
+@dataclass(frozen=True)
+class CellTable:
+    """Rows as one array of text cells: the form for tables of thousands of columns."""
+
+    df: DataFrame
+    columns: list[str]
+
+
+def read_cells(spark: SparkSession, path: str, sep: str = ",") -> CellTable:
+    """A CSV file, folder or glob with one header per file.
+
+    Every file must have the same header line, else the read fails. Cells past the
+    header are dropped, missing ones at the end of a line are left out.
     """
-    reader = (
-        spark.read.option("sep", sep)
-        .option("escape", QUOTE)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
+    text, names = _header(spark, path, sep)
+    lines = (
+        _line_reader(spark)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .schema(T.StructType([T.StructField(text, T.StringType())]))
+        .csv(path)
+        .toDF("line")
     )
-    header = reader.csv(path).limit(1).collect()
-    if not header:
-        raise ValueError(f"no header in {path}")
-    names = [(name or "").strip() for name in header[0]]
-    reject_duplicates(names)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return (
-        reader.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    cells = F.slice(split_cells(F.col("line"), sep), 1, len(names))
+    return CellTable(lines.where(F.col("line").isNotNull()).select(cells.alias("cells")), names)
+
+
+def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The same as one text column per name, cells trimmed and empty ones null."""
+    table = read_cells(spark, path, sep)
+    cells = [stripped(F.get("cells", F.lit(i))) for i in range(len(table.columns))]
+    return table.df.select(*[F.when(c != "", c).alias(name) for c, name in zip(cells, table.columns)])
+
+
+def cells_to_vectors(table: CellTable, target: str | None = None) -> DataFrame:
+    """``features, label``: the cells as numbers, null where they are none, and the numeric target."""
+    place = table.columns.index(target or resolve_target(table.columns))
+    others = F.concat(F.slice("cells", 1, place), F.slice("cells", place + 2, len(table.columns)))
+    return table.df.select(
+        F.transform(others, text_to_double).alias("features"),
+        numeric_target(F.get("cells", F.lit(place))).alias("label"),
     )
 
 

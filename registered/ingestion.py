@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gainsieve.operators.ranking import labelled_text, melt_columns, rank_table, with_names
+from gainsieve.operators.ranking import labelled_text, melt_columns, rank_cells, rank_table, with_names
 from gainsieve.operators.scaling import first_vector
 from gainsieve.plans.prepare import balanced_lines, feature_table
 from gainsieve.session import scratch_path
-from gainsieve.sources.jsonl import POSITION, parse_records, read_lines, write_lines
+from gainsieve.sources.jsonl import parse_records, read_lines, write_lines
 from gainsieve.sources.scores import read_scores, write_scores
-from gainsieve.sources.tables import feature_columns, read_table, resolve_target, write_table
+from gainsieve.sources.tables import feature_columns, read_cells, read_table, resolve_target, write_table
 from registered.ranking import LABELS_SQL
 from registered.tables import CLASS, TEXT_FEATURES, cells_sql, gain_sql, labelled_documents, lineitem, rounded, table
 
@@ -112,7 +112,7 @@ def q_csv_info_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lineitem")
     renamed = lineitem(spark, sf_dir).withColumnRenamed(CLASS, "Class")
     write_table(renamed.select("Class", *TEXT_FEATURES), path)
-    return rounded(rank_table(read_table(spark, path)).select("feature", "n_cells", "score"), "score")
+    return rounded(rank_cells(read_cells(spark, path)).select("feature", "n_cells", "score"), "score")
 
 
 def q_csv_numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

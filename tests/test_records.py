@@ -7,7 +7,8 @@ from gainsieve.functions.text import numeric_target, short_name, text_to_double,
 from gainsieve.plans.prepare import balanced_lines, feature_table, prepare
 from gainsieve.sources.jsonl import POSITION, parse_records, read_lines
 from gainsieve.sources.scores import read_scores, write_scores
-from gainsieve.sources.tables import preview, read_table, resolve_target, written_bytes
+from gainsieve.operators.ranking import rank_cells, rank_table
+from gainsieve.sources.tables import cells_to_vectors, preview, read_cells, read_table, resolve_target, split_cells, written_bytes
 
 
 def parsed(spark, lines, **options):
@@ -107,14 +108,47 @@ def test_target_column(columns, target):
 
 def test_table_round_trip(spark, tmp_path):
     (tmp_path / "one.csv").write_text('a , note,label\n 1 ,"x, ""y""",0\n\n2,,1\n3\n')
-    (tmp_path / "two.csv").write_text("a,note,label\n4, z ,1,9\n")
+    (tmp_path / "two.csv").write_text("a , note,label\n4, z ,1,9\n")
     rows = [tuple(r) for r in read_table(spark, str(tmp_path)).orderBy("a").collect()]
     assert rows == [("1", 'x, "y"', "0"), ("2", None, "1"), ("3", None, None), ("4", "z", "1")]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "one.csv").write_text("a,label\n1,2\n")
+    (tmp_path / "other" / "two.csv").write_text("b,label\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_table(spark, str(tmp_path / "other")).collect()
     (tmp_path / "twice.csv").write_text("a,a,label\n1,2,3\n")
     with pytest.raises(ValueError):
         read_table(spark, str(tmp_path / "twice.csv"))
 
 
+def test_cells_with_quotes(spark):
+    cases = {
+        'a,b,c': ["a", "b", "c"],
+        ',,': ["", "", ""],
+        '"x, ""y""",z': ['x, "y"', "z"],
+        '1, "q,r" ,2': ["1", "q,r", "2"],
+        '"",5': ["", "5"],
+        'it is "so",2': ['it is "so"', "2"],
+        '"a""",""""': ['a"', '"'],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "line string")
+    for row in df.select("line", split_cells(F.col("line")).alias("c")).collect():
+        assert [c.strip() for c in row["c"]] == cases[row["line"]], row["line"]
+
+
+def test_cells_rank_like_columns(spark, tmp_path):
+    text = "x,Label,note\n" + "".join(f"{i % 3}.0,{i % 2}.7,\"n,{i % 5}\"\n" for i in range(60)) + "bad,Label,\n7\n8,,q\n"
+    (tmp_path / "in.csv").write_text(text)
+    path = str(tmp_path / "in.csv")
+    for numeric in (False, True):
+        by_cells = {r["feature"]: (r["n_cells"], round(r["score"], 9)) for r in rank_cells(read_cells(spark, path), numeric=numeric).collect()}
+        by_columns = {r["feature"]: (r["n_cells"], round(r["score"], 9)) for r in rank_table(read_table(spark, path), numeric=numeric).collect()}
+        assert by_cells == by_columns and by_cells["x"][0] == 60
+        assert set(by_cells) == ({"x"} if numeric else {"x", "note"})
+    vectors = cells_to_vectors(read_cells(spark, path)).where("label IS NOT NULL").collect()
+    assert len(vectors) == 60 and vectors[4]["features"] == [1.0, None] and vectors[4]["label"] == 0
+
+
 def test_scores_round_trip(spark, tmp_path):
     path = str(tmp_path / "scores")
     write_scores(spark.createDataFrame([("f 1", 0.25), ("g", 1e-9)], "feature string, score double"), path)
