@@ -46,11 +46,14 @@ def is_target_text(cell: Column) -> Column:
     return (text != "") & (F.lower(text) != "label")
 
 
+def whole_label(number: Column) -> Column:
+    """A number cut toward zero; null for NaN, infinity and what no ``bigint`` holds."""
+    return number.try_cast("bigint")
+
+
 def numeric_target(cell: Column) -> Column:
-    """Label text as a whole number, cut toward zero; null for text, NaN and infinity."""
-    number = text_to_double(cell)
-    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-    return F.when(finite, number.try_cast("bigint"))
+    """Label text as a whole number, null when it is no finite number."""
+    return whole_label(text_to_double(cell))
 
 
 def short_name(name: Column, longest: int = 50) -> Column:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gainsieve.functions.entropy import entropy_from_sums, entropy_of, n_log_n
-from gainsieve.functions.text import is_target_text, numeric_target, short_name, stripped, text_to_double
+from gainsieve.functions.text import is_target_text, numeric_target, short_name, stripped, text_to_double, whole_label
 from gainsieve.functions.vectors import feature_name
 from gainsieve.operators.profile import ClassProfile, class_profile
 from gainsieve.operators.selection import FEATURES_KEPT
@@ -26,10 +26,18 @@ TIE_DIGITS = 12
 
 def labelled_text(df: DataFrame, target: str, numeric: bool = False) -> DataFrame:
     """Rows with a usable target, which becomes ``label``; ``numeric`` reads it as a number."""
-    text = F.col(f"`{target}`").cast("string")
-    label = numeric_target(text) if numeric else stripped(text)
+    cell = F.col(f"`{target}`")
+    if isinstance(df.schema[target].dataType, T.StringType):
+        label = _text_label(cell, numeric)
+    else:
+        label = whole_label(cell.try_cast("double")) if numeric else cell.cast("string")
     others = [F.col(f"`{c}`") for c in feature_columns(df.columns, target)]
-    return df.where(is_target_text(text)).select(*others, label.alias("label")).where("label IS NOT NULL")
+    return df.select(*others, label.alias("label")).where("label IS NOT NULL")
+
+
+def _text_label(cell: Column, numeric: bool) -> Column:
+    """A usable target text, null for an empty one and for a repeated header."""
+    return numeric_target(cell) if numeric else F.when(is_target_text(cell), stripped(cell))
 
 
 def melt_columns(
@@ -38,13 +46,23 @@ def melt_columns(
     """``feature_id, value, cls`` of every filled cell; ids are places in ``columns``.
 
     The columns go through one array: a melt by ``unpivot`` plans one projection per
-    column, which is slow for thousands of them.
+    column, which is slow for many of them. For thousands of columns see ``rank_cells``.
     """
     reject_duplicates(columns)
-    typed = numeric and all(isinstance(df.schema[c].dataType, T.NumericType) for c in columns)
-    values = F.array(*[F.col(f"`{c}`").cast("double" if typed else "string") for c in columns])
+    kinds = [df.schema[c].dataType for c in columns]
+    if all(isinstance(kind, T.StringType) for kind in kinds):
+        values = F.array(*[F.col(f"`{c}`") for c in columns])
+        return _parsed(_melted(df.select(*keep, label, values.alias("_values")), label, keep), numeric)
+    values = F.array(*[_category(F.col(f"`{c}`"), kind, numeric) for c, kind in zip(columns, kinds)])
     cells = _melted(df.select(*keep, label, values.alias("_values")), label, keep)
-    return cells.where("value IS NOT NULL") if typed else _parsed(cells, numeric)
+    return cells.where("value IS NOT NULL" if numeric else "value <> ''")
+
+
+def _category(cell: Column, kind: T.DataType, numeric: bool) -> Column:
+    """A cell as text or number; a typed column needs no parsing."""
+    if numeric:
+        return cell.cast("double") if isinstance(kind, T.NumericType) else text_to_double(cell.cast("string"))
+    return stripped(cell) if isinstance(kind, T.StringType) else cell.cast("string")
 
 
 def _melted(rows: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -63,9 +81,8 @@ def _parsed(cells: DataFrame, numeric: bool) -> DataFrame:
 
 def labelled_cells(table: CellTable, place: int, numeric: bool = False) -> DataFrame:
     """``cells, label`` of the rows whose cell at ``place`` is a usable target."""
-    text = F.get("cells", F.lit(place))
-    label = numeric_target(text) if numeric else stripped(text)
-    return table.df.where(is_target_text(text)).select("cells", label.alias("label")).where("label IS NOT NULL")
+    label = _text_label(F.get("cells", F.lit(place)), numeric)
+    return table.df.select("cells", label.alias("label")).where("label IS NOT NULL")
 
 
 def melt_cells(rows: DataFrame, place: int, width: int, numeric: bool = False) -> DataFrame:
