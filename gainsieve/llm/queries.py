@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from gainsieve.llm.bpe import round_trip
 from gainsieve.llm.common import table
+from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import MEASURES, clean_documents
+from gainsieve.llm.token_counts import token_counts
 
 
 def op1_quality(spark, sf_dir):
@@ -12,6 +15,21 @@ def op1_quality(spark, sf_dir):
     return judged.select("doc_id", *MEASURES, "base_failed", "kept", "n_lines", "n_bad_lines", "clean_chars")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality]}
+def op2_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2,048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op6_token_counts(spark, sf_dir):
+    """Greedy word-piece lengths of all documents."""
+    return token_counts(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op9_byte_bpe(spark, sf_dir):
+    """Encoding of all documents and its decoding, as digests."""
+    return round_trip(table(spark, sf_dir, "documents"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op6_token_counts, op9_byte_bpe]}
 
 ORACLES: dict[str, str] = {}
