@@ -32,3 +32,8 @@ def running_starts(groups: DataFrame, within: Sequence[str], order: Sequence[str
     """
     before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return groups.withColumn(start, F.coalesce(F.sum(amount).over(before), F.lit(0)))
+
+
+def fold_of(key: str, folds: int) -> Column:
+    """The fold of a row: CRC-32 of its key as text, modulo ``folds``."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))

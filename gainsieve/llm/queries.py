@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gainsieve.llm.bpe import round_trip
-from gainsieve.llm.common import table
+from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import MEASURES, clean_documents
 from gainsieve.llm.token_counts import token_counts
+from gainsieve.llm.toxicity import learn, score_documents
+
+TOXIC_FROM = 0.3
 
 
 def op1_quality(spark, sf_dir):
@@ -25,11 +30,24 @@ def op6_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def toxicity_scores(spark, docs, sf_dir):
+    """``doc_id, score`` of ``docs`` by a model of the labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 4) != 2)
+    model = learn(table(spark, sf_dir, "documents"), labels)
+    return score_documents(docs, model, "doc_id")
+
+
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of all documents by compression distance."""
+    scores = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scores.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     """Encoding of all documents and its decoding, as digests."""
     return round_trip(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op6_token_counts, op9_byte_bpe]}
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op6_token_counts, op8_toxicity, op9_byte_bpe]}
 
 ORACLES: dict[str, str] = {}
