@@ -8,6 +8,7 @@ from gainsieve.llm.bpe import round_trip
 from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import MEASURES, clean_documents
+from gainsieve.llm.simhash import near_duplicates
 from gainsieve.llm.token_counts import token_counts
 from gainsieve.llm.toxicity import learn, score_documents
 
@@ -30,6 +31,11 @@ def op6_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op7_simhash(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def toxicity_scores(spark, docs, sf_dir):
     """``doc_id, score`` of ``docs`` by a model of the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 4) != 2)
@@ -48,6 +54,6 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op6_token_counts, op8_toxicity, op9_byte_bpe]}
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe]}
 
 ORACLES: dict[str, str] = {}
