@@ -8,11 +8,14 @@ from gainsieve.llm.bpe import round_trip
 from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import MEASURES, clean_documents
+from gainsieve.llm.resharding import reshard
 from gainsieve.llm.simhash import near_duplicates
 from gainsieve.llm.token_counts import token_counts
+from gainsieve.llm.topk import top_k
 from gainsieve.llm.toxicity import learn, score_documents
 
 TOXIC_FROM = 0.3
+SHARDS = 8
 
 
 def op1_quality(spark, sf_dir):
@@ -26,6 +29,20 @@ def op2_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op3_resharding(spark, sf_dir):
+    """All documents from shards by source, which are uneven, to 8 of equal bytes, moving the fewest."""
+    text = F.coalesce("text", F.lit(""))
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(SHARDS))
+    crc = F.crc32(text.cast("binary"))
+    placed = reshard(table(spark, sf_dir, "documents"), "doc_id", F.octet_length(text) + 1, old, SHARDS, SHARDS, {"text_crc32": crc})
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op4_exact_top_k(spark, sf_dir):
+    """The 5 highest inner products of every 50th vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
+
+
 def op6_token_counts(spark, sf_dir):
     """Greedy word-piece lengths of all documents."""
     return token_counts(table(spark, sf_dir, "documents"), "doc_id")
@@ -54,6 +71,6 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe]}
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe]}
 
 ORACLES: dict[str, str] = {}
