@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gainsieve.llm import kneser_ney
 from gainsieve.llm.bpe import round_trip
 from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
@@ -71,6 +72,14 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe]}
+def op10_language_model(spark, sf_dir):
+    """Kneser-Ney scores of all documents, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(fold_of("doc_id", 7) != 2))
+    scores = kneser_ney.score(docs, model, "doc_id")
+    return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model]}
 
 ORACLES: dict[str, str] = {}
