@@ -17,9 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gainsieve.llm.packed import bucket_of, pack, runs_of, summed, unpack
 from gainsieve.llm.words import mixed, word_hashes
 from gainsieve.session import scratch_path
 
@@ -41,26 +41,7 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(u * _U64(0x9E3779B97F4A7C15) + w * _U64(0xD6E8FEB86659FD93) + _U64(0x2545F4914F6CDD1D))
 
 
-# ---- packed columns of integers ------------------------------------------------------
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length, by byte planes, so that sorted and small numbers take little room."""
-    planes = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return zstandard.compress(planes, 1)
-
-
-def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(columns, 8, -1)
-    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
-
-
-def _summed(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted different keys and the sums of their values."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    return key[firsts], [np.add.reduceat(v[order], firsts) if len(firsts) else v for v in values]
+# ---- packed pairs ---------------------------------------------------------------------
 
 
 def _pack_pairs(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
@@ -68,13 +49,13 @@ def _pack_pairs(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
     order = np.argsort(u, kind="stable")
     u, w, n = u[order], w[order], n[order]
     firsts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-    head, rows = _pack(u[firsts], np.diff(np.append(firsts, len(u)))), _pack(w, n)
+    head, rows = pack(u[firsts], np.diff(np.append(firsts, len(u)))), pack(w, n)
     return len(head).to_bytes(8, "little") + head + rows
 
 
 def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = int.from_bytes(blob[:8], "little")
-    (u, runs), (w, n) = _unpack(blob[8 : 8 + size], 2), _unpack(blob[8 + size :], 2)
+    (u, runs), (w, n) = unpack(blob[8 : 8 + size], 2), unpack(blob[8 + size :], 2)
     return np.repeat(u, runs.astype(np.int64)), w, n
 
 
@@ -109,10 +90,6 @@ PAIR_KINDS = ("<u8", "<u8", "<u8", "u1")  # hashes and counts of the frequent, t
 WORD_KINDS = ("<u8", "<u8", "<u4", "<u4", "<u4", "<u4")  # hash, count, contexts, followers seen 1, 2, 3+ times
 
 
-def _bucket(hashes: np.ndarray, bits: int, width: int) -> np.ndarray:
-    return (hashes >> _U64(width - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that all scores need."""
@@ -131,7 +108,7 @@ class Model:
     def pair_counts(self, hashes: np.ndarray) -> np.ndarray:
         """Training counts of sorted pair hashes."""
         out = np.zeros(len(hashes), np.int64)
-        for b, rows in _runs(_bucket(hashes, self.bits, 64)):
+        for b, rows in runs_of(bucket_of(hashes, self.bits, 64)):
             often, often_n, rare, rare_n = _mapped(f"{self.folder}/pairs-{b}", PAIR_KINDS)
             for known, n in ((rare, rare_n), (often, often_n)):
                 at, hit = _find(known, hashes[rows])
@@ -141,7 +118,7 @@ class Model:
     def words(self, hashes: np.ndarray) -> list[np.ndarray]:
         """Count, contexts and followers seen 1, 2, 3+ times of sorted word hashes."""
         out = [np.zeros(len(hashes), np.int64) for _ in WORD_KINDS[1:]]
-        for b, rows in _runs(_bucket(hashes, self.bits, 56)):
+        for b, rows in runs_of(bucket_of(hashes, self.bits, 56)):
             known, *values = _mapped(f"{self.folder}/words-{b}", WORD_KINDS)
             at, hit = _find(known, hashes[rows])
             for o, v in zip(out, values, strict=True):
@@ -176,12 +153,6 @@ class Model:
             yield length, int((count[at_w[part]] > 0).sum()), float(base[at_w[part]].sum()), float(logs[part].sum())
 
 
-def _runs(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
-    firsts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else []
-    for a, b in zip(firsts, np.append(firsts[1:], len(buckets)).astype(np.int64) if len(buckets) else [], strict=True):
-        yield int(buckets[a]), slice(int(a), int(b))
-
-
 def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(known):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
@@ -234,7 +205,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
             firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
             n = np.diff(np.append(firsts, len(hashes)))
             u, w, hashes = u[order[firsts]], w[order[firsts]], hashes[firsts]
-            out = [(b, _pack_pairs(u[r], w[r], n[r])) for b, r in _runs(_bucket(hashes, bits, 64))]
+            out = [(b, _pack_pairs(u[r], w[r], n[r])) for b, r in runs_of(bucket_of(hashes, bits, 64))]
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "data"])
 
         for tokens in _tokens(batches):
@@ -259,14 +230,14 @@ def train(df: DataFrame, text: str = "text") -> Model:
         _write(f"{folder}/pairs-{key[0].as_py()}", [hashes[often], n[often].astype("<u8"), hashes[~often], n[~often].astype("u1")])
         one = np.ones(len(n), np.int64)
         zero = np.zeros(len(n), np.int64)
-        word, values = _summed(np.concatenate([w, u]), [np.concatenate(x) for x in ((n, zero), (one, zero), (zero, n == 1), (zero, n == 2), (zero, n >= 3))])
-        out = [(b, _pack(word[r], *(v[r] for v in values))) for b, r in _runs(_bucket(word, bits, 56))]
+        word, values = summed(np.concatenate([w, u]), [np.concatenate(x) for x in ((n, zero), (one, zero), (zero, n == 1), (zero, n == 2), (zero, n >= 3))])
+        out = [(b, pack(word[r], *(v[r] for v in values))) for b, r in runs_of(bucket_of(word, bits, 56))]
         seen = [int((n == i).sum()) for i in range(1, 5)]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "data": pa.array([o[1] for o in out], pa.binary()), "seen": pa.array([seen, *([[0] * 4] * (len(out) - 1))], pa.list_(pa.int64()))})
 
     def add_words(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        word, *values = (np.concatenate(x) for x in zip(*(_unpack(b, 6) for b in group["data"].to_pylist()), strict=True))
-        word, values = _summed(word, [v.astype(np.int64) for v in values])
+        word, *values = (np.concatenate(x) for x in zip(*(unpack(b, 6) for b in group["data"].to_pylist()), strict=True))
+        word, values = summed(word, [v.astype(np.int64) for v in values])
         _write(f"{folder}/words-{key[0].as_py()}", [word, values[0].astype("<u8"), *(v.astype("<u4") for v in values[1:])])
         counts, contexts = values[0], values[1]
         seen = np.array(group["seen"].to_pylist(), np.int64).sum(axis=0)
