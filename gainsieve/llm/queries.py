@@ -11,6 +11,7 @@ from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import MEASURES, clean_documents
 from gainsieve.llm.resharding import reshard
 from gainsieve.llm.simhash import near_duplicates
+from gainsieve.llm.suffixes import remove_repeats
 from gainsieve.llm.token_counts import token_counts
 from gainsieve.llm.topk import top_k
 from gainsieve.llm.toxicity import learn, score_documents
@@ -44,6 +45,12 @@ def op4_exact_top_k(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents in 100-byte strings that also start earlier, removed."""
+    left = remove_repeats(table(spark, sf_dir, "documents"), "doc_id")
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark, sf_dir):
     """Greedy word-piece lengths of all documents."""
     return token_counts(table(spark, sf_dir, "documents"), "doc_id")
@@ -80,6 +87,6 @@ def op10_language_model(spark, sf_dir):
     return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model]}
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model]}
 
 ORACLES: dict[str, str] = {}
