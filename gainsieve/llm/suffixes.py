@@ -310,10 +310,11 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, z binary")
 
 
-def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, digit: int = DIGIT, as_text: bool = False) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept`` for every row.
 
-    ``kept`` are the bytes left (binary) when every byte goes that lies in a ``window``-byte
+    ``kept`` are the bytes left (binary, or with ``as_text`` the whole characters among them
+    as text) when every byte goes that lies in a ``window``-byte
     string which also starts earlier: in a row of a smaller key, or in the same row before.
     Strings are judged on the input. ``n_spans`` counts maximal runs of removed bytes.
 
@@ -336,10 +337,12 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WI
                 kept = _kept(data, found.values.field("lo").to_numpy(), found.values.field("n").to_numpy(), window)
                 starts = int((~kept[1:] & kept[:-1]).sum()) + int(not kept[0])
                 out.append((len(data), int((~kept).sum()), starts, data[kept].tobytes()))
-            columns = [pa.array([o[i] for o in out], pa.int64() if i < 3 else pa.binary()) for i in range(4)]
+            if as_text:
+                out = [(*o[:3], o[3].decode("utf-8", "ignore")) for o in out]
+            columns = [pa.array([o[i] for o in out], pa.int64() if i < 3 else pa.string() if as_text else pa.binary()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    left = compressed.join(spans, "doc", "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    left = compressed.join(spans, "doc", "left").mapInArrow(run, f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return left.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
 
 
