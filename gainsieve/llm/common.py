@@ -25,6 +25,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
+def fenced(value: Column) -> Column:
+    """``value`` in a form that keeps later filters above the projection it stands in.
+
+    A filter that is pushed below takes the expressions of its columns with it, and an array
+    that a lambda looks into would then be worked out again for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def running_starts(groups: DataFrame, within: Sequence[str], order: Sequence[str], amount: str, start: str) -> DataFrame:
     """Adds ``start``: the sum of ``amount`` over earlier groups of the same ``within``.
 

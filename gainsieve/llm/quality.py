@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gainsieve.llm.common import BLANKS, others, words_of
+from gainsieve.llm.common import BLANKS, fenced, others, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of lines that belong to the site or the licence, not to the text (lower case).
@@ -115,7 +115,7 @@ def clean_documents(
     )
     lowered = F.transform("lines", lambda x: F.struct(x.alias("line"), F.when(F.length(x) <= notice_chars, F.lower(x)).alias("low")))
     judged = F.transform(lowered, lambda x: F.struct(x["line"].alias("line"), bad_line(x["line"], x["low"], marked_share, separators, title_words).alias("bad")))
-    rows = rows.select("row", "t", "lines", F.size("w").alias("n"), F.coalesce(covered, F.lit(0)).alias("repeats"), judged.alias("judged"))
+    rows = rows.select("row", "t", "lines", F.size("w").alias("n"), fenced(F.coalesce(covered, F.lit(0))).alias("repeats"), judged.alias("judged"))
     rows = rows.withColumn("left", F.array_join(F.transform(F.filter("judged", lambda x: ~x["bad"]), lambda x: x["line"]), "\n"))
     chars = lambda c: F.length(_without(F.col(c), BLANKS))
     rows = rows.select(
@@ -132,4 +132,4 @@ def clean_documents(
         F.col("left").alias(clean_text),
     )
     kept = ~F.col("base_failed") & (F.col("clean_chars") >= least_left * F.col("word_chars"))
-    return rows.select("row.*", *MEASURES, "base_failed", kept.alias("kept"), "n_lines", "n_bad_lines", "clean_chars", clean_text)
+    return rows.select("row.*", *MEASURES, "base_failed", fenced(kept).alias("kept"), "n_lines", "n_bad_lines", "clean_chars", clean_text)
