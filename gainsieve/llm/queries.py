@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gainsieve.llm import kneser_ney
+from gainsieve.llm import kneser_ney, oracles
 from gainsieve.llm.bpe import round_trip
 from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
@@ -89,4 +89,4 @@ def op10_language_model(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model]}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality": oracles.QUALITY, "op4_exact_top_k": oracles.TOP_K}
