@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def fix_width(vector: Column, width: int | Column) -> Column:
@@ -19,6 +19,11 @@ def gather(vector: Column, positions: Sequence[int]) -> Column:
     return F.array(*[F.get(vector, F.lit(int(p))) for p in positions])
 
 
+def vector_width(df: DataFrame, vector: str = "features") -> int:
+    """The widest vector of the table; 0 if it has none."""
+    return df.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0]
+
+
 def nonzero_count(vector: Column) -> Column:
     return F.size(F.filter(vector, lambda x: x != 0))
 

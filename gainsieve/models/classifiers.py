@@ -17,9 +17,10 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from gainsieve.functions.vectors import vector_width
 from gainsieve.models import naive_bayes, neighbours
 from gainsieve.models.boosting import boosted_prediction, fit_boosted_stumps
-from gainsieve.models.kernels import fit_kernel_svm
+from gainsieve.models.kernels import LANDMARKS, fit_kernel_svm
 from gainsieve.operators.folds import FoldedTable
 
 SEED = 42
@@ -62,14 +63,20 @@ def from_estimator(make: Callable[[DataFrame, FoldedTable], object]) -> FoldPred
 COLUMNS = {"featuresCol": "vector", "labelCol": "label_index"}
 
 
-def random_forest(trees: int = 100, depth: int = 10) -> FoldPredictor:
+# The deepest trees that Spark grows.
+MOST_DEPTH = 30
+
+
+def random_forest(trees: int = 100, depth: int = MOST_DEPTH, bins: int = 32) -> FoldPredictor:
     return from_estimator(
-        lambda training, table: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **COLUMNS)
+        lambda training, table: RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=bins, seed=SEED, **COLUMNS)
     )
 
 
-def decision_tree(depth: int = 20) -> FoldPredictor:
-    return from_estimator(lambda training, table: DecisionTreeClassifier(maxDepth=depth, seed=SEED, **COLUMNS))
+def decision_tree(depth: int = MOST_DEPTH, bins: int = 32) -> FoldPredictor:
+    return from_estimator(
+        lambda training, table: DecisionTreeClassifier(maxDepth=depth, maxBins=bins, seed=SEED, **COLUMNS)
+    )
 
 
 def gradient_boosting(rounds: int = 100, depth: int = 3) -> FoldPredictor:
@@ -81,8 +88,7 @@ def gradient_boosting(rounds: int = 100, depth: int = 3) -> FoldPredictor:
 
 def perceptron(hidden: tuple[int, ...] = (100, 50), iterations: int = 300) -> FoldPredictor:
     def make(training: DataFrame, table: FoldedTable) -> MultilayerPerceptronClassifier:
-        width = training.select(F.size("features")).limit(1).collect()[0][0]
-        layers = [width, *hidden, len(table.classes)]
+        layers = [vector_width(training), *hidden, len(table.classes)]
         return MultilayerPerceptronClassifier(layers=layers, maxIter=iterations, seed=SEED, **COLUMNS)
 
     return from_estimator(make)
@@ -92,16 +98,16 @@ def logistic_regression(iterations: int = 1000) -> FoldPredictor:
     """A penalty of C = 1 on the summed loss, that is 1/n on the mean loss."""
 
     def make(training: DataFrame, table: FoldedTable) -> LogisticRegression:
-        rows = max(table.rows * (table.folds - 1) // table.folds, 1)
-        return LogisticRegression(maxIter=iterations, regParam=1.0 / rows, standardization=False, **COLUMNS)
+        return LogisticRegression(maxIter=iterations, regParam=1.0 / max(training.count(), 1), standardization=False, **COLUMNS)
 
     return from_estimator(make)
 
 
-def kernel_svm(kernel: str) -> FoldPredictor:
+def kernel_svm(kernel: str, landmarks: int = LANDMARKS) -> FoldPredictor:
+    """Exact up to ``landmarks`` training rows; beyond, the kernel is that of the landmark map, fitted on all rows."""
+
     def fit(training: DataFrame, table: FoldedTable) -> Callable[[DataFrame], DataFrame]:
-        rows = table.rows * (table.folds - 1) // table.folds
-        return fit_kernel_svm(training, len(table.classes), rows, kernel, SEED)
+        return fit_kernel_svm(training, len(table.classes), training.count(), kernel, SEED, landmarks)
 
     return per_fold(fit)
 

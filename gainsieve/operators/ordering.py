@@ -16,8 +16,8 @@ def row_ranks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
 
     Only these narrow columns are sorted, and by range: a group that holds most rows
     spans many partitions. The rank is the place within the partition plus the rows of
-    the same group in earlier partitions; that offset table has about one row per
-    partition, so it is broadcast. The sorted keys are written out first, since range
+    the same group in earlier partitions, which an offset table with a row for each group
+    and partition tells. The sorted keys are written out first, since range
     boundaries come from a sample and may differ if computed again.
     """
     keys = df.select(*by, *order).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
@@ -28,16 +28,27 @@ def row_ranks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
     earlier = Window.partitionBy(*by).orderBy("_part")
     shift = F.sum("_n").over(earlier) - F.col("_n") - F.col("_first") + 1
     offsets = blocks.select(*by, "_part", shift.alias("_shift"))
-    return placed.join(F.broadcast(offsets), [*by, "_part"]).select(
+    return _null_safe(placed, offsets, [*by, "_part"]).select(
         *by, *order, (F.col("_at") + F.col("_shift")).alias("rank")
     )
 
 
+def _null_safe(rows: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``extra`` where all keys agree, nulls included."""
+    named = extra.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(named[f"_{k}_"]) for k in keys])
+    return rows.join(named, same)
+
+
 def is_up_to(order: Sequence[str], bound: Sequence[Any]) -> Column:
-    """Lexicographic ``order <= bound``; plain comparisons, so that scans can skip on them."""
-    last = F.col(order[-1]) <= F.lit(bound[-1])
+    """Lexicographic ``order <= bound``, null first; plain comparisons, so that scans can skip on them."""
+
+    def below(name: str, value: Any) -> Column:
+        return F.lit(False) if value is None else F.col(name).isNull() | (F.col(name) < F.lit(value))
+
+    last = below(order[-1], bound[-1]) | F.col(order[-1]).eqNullSafe(F.lit(bound[-1]))
     for name, value in zip(reversed(order[:-1]), reversed(bound[:-1])):
-        last = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & last)
+        last = below(name, value) | (F.col(name).eqNullSafe(F.lit(value)) & last)
     return last
 
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from gainsieve.functions.entropy import entropy_from_sums, entropy_of, n_log_n
+from gainsieve.functions.entropy import entropy_from_sums, n_log_n
 from gainsieve.functions.text import is_target_text, numeric_target, short_name, stripped, text_to_double, whole_label
 from gainsieve.functions.vectors import feature_name
 from gainsieve.operators.profile import ClassProfile, class_profile
@@ -203,14 +202,15 @@ def pooled_gain(
 
 
 def training_profiles(df: DataFrame, folds: Iterable[int], label: str = "label") -> dict[int, ClassProfile]:
-    """Class profile of the rows outside each fold; folds x classes counts reach the driver."""
-    counts: dict[int, dict[Any, int]] = {f: {} for f in folds}
-    per_fold = df.where(F.col(label).isNotNull()).groupBy("fold", label).agg(F.count("*").alias("n"))
-    for row in per_fold.collect():
-        for fold, training in counts.items():
-            if row["fold"] != fold:
-                training[row[label]] = training.get(row[label], 0) + row["n"]
-    return {f: ClassProfile(sum(c.values()), entropy_of(c.values()), c) for f, c in counts.items()}
+    """Total and label entropy of the rows outside each fold: one row reaches the driver."""
+    folds = list(folds)
+    outside = [F.count_if(F.col("fold") != f).alias(f"n{f}") for f in folds]
+    per_class = df.where(F.col(label).isNotNull()).groupBy(label).agg(*outside)
+    totals = [F.coalesce(F.sum(f"n{f}"), F.lit(0)).alias(f"t{f}") for f in folds]
+    sums = [F.coalesce(F.sum(n_log_n(F.col(f"n{f}"))), F.lit(0.0)).alias(f"s{f}") for f in folds]
+    entropies = [entropy_from_sums(F.col(f"t{f}"), F.col(f"s{f}")).alias(f"h{f}") for f in folds]
+    row = per_class.agg(*totals, *sums).select(*[f"t{f}" for f in folds], *entropies).first()
+    return {f: ClassProfile(row[f"t{f}"], row[f"h{f}"], None) for f in folds}
 
 
 def fold_gain(cells: DataFrame, profiles: Mapping[int, ClassProfile]) -> DataFrame:

@@ -20,17 +20,24 @@ def first_per_class(
 ) -> DataFrame:
     """The first ``n`` rows of each class in ``order``, which must identify a row.
 
+    A null in a key sorts first. Repeated keys at the end of the ``n`` rows are an error.
     The key of the ``n``-th row of each class is found on the key columns alone; the
     rows are then taken by comparing keys, so they are not shuffled and the comparison
     reaches the scan. ``split`` names leading order columns that many rows share (file
     and block): rows past the split where a class is full are cut off beforehand.
     """
-    # Fixed size: one bound per requested class.
+    if n < 0:
+        raise ValueError("n must not be negative")
+    if n == 0:
+        return df.where(F.lit(False))
+    # Fixed size: two bounds per requested class.
     wanted = df.where(F.col(label).isin(list(classes)))
     if split:
         wanted = wanted.where(_within(_split_bounds(wanted, n, split, label), label, split, classes))
-    last = row_ranks(wanted, [label], order).where(F.col("rank") == n).collect()
-    bounds = {row[label]: [row[c] for c in order] for row in last}
+    last = row_ranks(wanted, [label], order).where(F.col("rank").isin(n, n + 1)).collect()
+    bounds = {row[label]: [row[c] for c in order] for row in last if row["rank"] == n}
+    if any(row["rank"] > n and [row[c] for c in order] == bounds[row[label]] for row in last):
+        raise ValueError(f"{order} does not identify a row: the last key is repeated")
     return wanted.where(_within(bounds, label, order, classes))
 
 

@@ -68,13 +68,8 @@ def _successful(runs: DataFrame, results: DataFrame) -> DataFrame:
 
 def accuracy_table(runs: DataFrame, results: DataFrame, classifiers: Sequence[str]) -> DataFrame:
     """One row per successful run and one column per classifier; 0 where there is no result."""
-    return (
-        _successful(runs, results)
-        .groupBy("exp_id")
-        .pivot("classifier", list(classifiers))
-        .agg(F.first("accuracy"))
-        .na.fill(0.0, list(classifiers))
-    )
+    found = _successful(runs, results).groupBy("exp_id").pivot("classifier", list(classifiers)).agg(F.first("accuracy"))
+    return runs.where("success").select("exp_id").join(found, "exp_id", "left").na.fill(0.0, list(classifiers))
 
 
 def _first_success(runs: DataFrame, value: str) -> Column:

@@ -28,14 +28,21 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only when the session names none (local tests) is a folder of our own made.
+    Only a local session that names none gets a folder of its own; on a cluster it would be
+    on one machine, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own_folder(spark.sparkContext.applicationId)
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 @cache
 def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="gainsieve-")

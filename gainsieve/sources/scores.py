@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gainsieve.functions.text import text_to_double
 
 SCORE_SEPARATOR = "\t"
+# Writer and reader agree on these, so any name comes back as it was.
+FORMAT = {
+    "sep": SCORE_SEPARATOR,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "emptyValue": "",
+}
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -14,17 +23,20 @@ def write_scores(scores: DataFrame, path: str) -> None:
     (
         scores.select("feature", "score")
         .write.mode("overwrite")
-        .option("sep", SCORE_SEPARATOR)
+        .options(**FORMAT)
         .csv(path)
     )
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Every part file below ``path``; lines that are not a name and a number are left out."""
-    fields = F.split("value", SCORE_SEPARATOR)
+    rows = (
+        spark.read.options(**FORMAT, pathGlobFilter="part-*", multiLine="true")
+        .schema("feature string, value string, more string")
+        .csv(path)
+    )
     return (
-        spark.read.option("pathGlobFilter", "part-*").text(path)
-        .where(F.size(fields) == 2)
-        .select(fields[0].alias("feature"), text_to_double(fields[1]).alias("score"))
+        rows.where("more IS NULL AND value IS NOT NULL")
+        .select(F.coalesce("feature", F.lit("")).alias("feature"), text_to_double(F.col("value")).alias("score"))
         .where("score IS NOT NULL")
     )

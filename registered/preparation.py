@@ -56,7 +56,7 @@ def q_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_vector_to_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(widen(vectors(spark, sf_dir), 10, keep=["vec_id"]), *feature_names(10))
+    return rounded(widen(vectors(spark, sf_dir), WIDTH, keep=["vec_id"]), *feature_names(WIDTH))
 
 
 def q_columns_to_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +113,16 @@ def q_select_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fallback_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only five features are ranked, so the first twenty are taken."""
+    """Only seven features have cells, too few for a ranking, so the first five are taken."""
+    rows = quantised(spark, sf_dir).withColumn("features", F.slice("features", 1, 7))
+    ids = selected_ids(top_features(rank_vectors(rows), 10), 7, 5)
+    return _cells(project_features(rows, ids, 7))
+
+
+def q_select_top_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer than ten are wanted, but more are ranked, so the ranking decides."""
     rows = quantised(spark, sf_dir)
-    ids = selected_ids(top_features(rank_vectors(rows), 5), WIDTH, 20)
+    ids = selected_ids(top_features(rank_vectors(rows), 10), WIDTH, 5)
     return _cells(project_features(rows, ids, WIDTH))
 
 
@@ -154,6 +161,7 @@ QUERIES = {
     "nonzero_counts": q_nonzero_counts,
     "select_top_features": q_select_top_features,
     "fallback_selection": q_fallback_selection,
+    "select_top_five": q_select_top_five,
     "no_selected_feature": q_no_selected_feature,
     "stratified_folds": q_stratified_folds,
     "stratified_folds_unbalanced": q_stratified_folds_unbalanced,
@@ -168,6 +176,7 @@ SCALED = f"""
     FROM ({{cells}}) JOIN (SELECT pos, min(x) AS low, max(x) AS high FROM ({{cells}}) GROUP BY pos) USING (pos)
 """
 ROUNDED = "SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x, 6) + 0.0 AS x FROM ({cells})"
+ALL_ELEMENTS = ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0 AS feature_{i:04d}" for i in range(64))
 ELEMENTS = ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0 AS feature_{i:04d}" for i in range(10))
 WITH_CONSTANT = f"{CELLS} UNION ALL SELECT vec_id, 64, 7.5 FROM embeddings"
 
@@ -184,7 +193,7 @@ ORACLES = {
     "pad_truncate": """
         SELECT vec_id, CAST(u.pos - 1 AS INTEGER) AS pos, round(coalesce(CAST(embedding[u.pos] AS DOUBLE), 0), 6) + 0.0 AS x
         FROM embeddings, (SELECT unnest(range(1, 81)) AS pos) u WHERE u.pos <= CASE WHEN vec_id % 2 = 0 THEN 80 ELSE 48 END""",
-    "vector_to_columns": f"SELECT vec_id, {ELEMENTS}, {SIDE_SQL} AS label FROM embeddings",
+    "vector_to_columns": f"SELECT vec_id, {ALL_ELEMENTS}, {SIDE_SQL} AS label FROM embeddings",
     "columns_to_vector": f"""
         SELECT label, count(DISTINCT vec_id) AS n, round(sum(x), 4) AS total, CAST(max(pos) + 1 AS INTEGER) AS width
         FROM ({CELLS}) JOIN (SELECT vec_id, {SIDE_SQL} AS label FROM embeddings) USING (vec_id) GROUP BY label""",
@@ -201,7 +210,11 @@ ORACLES = {
         SELECT vec_id, CAST(rk - 1 AS INTEGER) AS pos, x + 0.0 AS x FROM ({CUT_CELLS}) c
         JOIN (SELECT CAST(right(feature, 4) AS INTEGER) AS id, row_number() OVER (ORDER BY score DESC, feature) AS rk FROM ({VECTOR_GAIN_SQL})) t
           ON c.pos = t.id WHERE rk <= 12""",
-    "fallback_selection": f"SELECT vec_id, CAST(pos AS INTEGER) AS pos, x + 0.0 AS x FROM ({CUT_CELLS}) WHERE pos < 20",
+    "select_top_five": f"""
+        SELECT vec_id, CAST(rk - 1 AS INTEGER) AS pos, x + 0.0 AS x FROM ({CUT_CELLS}) c
+        JOIN (SELECT CAST(right(feature, 4) AS INTEGER) AS id, row_number() OVER (ORDER BY score DESC, feature) AS rk FROM ({VECTOR_GAIN_SQL})) t
+          ON c.pos = t.id WHERE rk <= 5""",
+    "fallback_selection": f"SELECT vec_id, CAST(pos AS INTEGER) AS pos, x + 0.0 AS x FROM ({CUT_CELLS}) WHERE pos < 5",
     "no_selected_feature": "SELECT vec_id, CAST(0 AS INTEGER) AS pos, CAST(0 AS DOUBLE) AS x FROM embeddings",
     "stratified_folds": folds_sql("embeddings", "label", "vec_id"),
     "stratified_folds_unbalanced": folds_sql("labels", "quality", "doc_id"),

@@ -24,7 +24,6 @@ from registered.tables import (
     table,
 )
 
-EXACT_TEXT = ["l_linestatus", "l_linenumber", "l_suppkey"]
 LABELS_SQL = f"SELECT {CLASS} AS y FROM lineitem"
 
 
@@ -48,8 +47,8 @@ def q_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = R.melt_columns(lineitem(spark, sf_dir, EXACT_TEXT), EXACT_TEXT, CLASS)
-    return R.with_names(R.contingency(cells), EXACT_TEXT).select("feature", "value", "cls", "n")
+    cells = R.melt_columns(lineitem(spark, sf_dir), TEXT_FEATURES, CLASS)
+    return R.with_names(R.contingency(cells), TEXT_FEATURES).select("feature", "value", "cls", "n")
 
 
 def q_conditional_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +220,7 @@ ORACLES = {
     "melt": f"""
         SELECT feature, count(*) AS n_cells, count(DISTINCT value) AS n_values
         FROM ({cells_sql(TEXT_FEATURES, GAPS)}) GROUP BY feature""",
-    "contingency": f"SELECT feature, value, cls, count(*) AS n FROM ({cells_sql(EXACT_TEXT)}) GROUP BY feature, value, cls",
+    "contingency": f"SELECT feature, value, cls, count(*) AS n FROM ({cells_sql(TEXT_FEATURES)}) GROUP BY feature, value, cls",
     "conditional_entropy": f"""
         SELECT g.feature, n_cells, round(ce, 6) + 0.0 AS conditional_entropy FROM (
           SELECT feature, CAST(sum(c) AS BIGINT) AS n_cells, -sum(c * 1.0 / (SELECT count(*) FROM lineitem) * log2(c * 1.0 / n)) AS ce

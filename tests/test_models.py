@@ -11,7 +11,7 @@ from gainsieve.models import kernels, naive_bayes, neighbours
 from gainsieve.models.boosting import Stump, boosted_prediction, fit_boosted_stumps
 from gainsieve.models.evaluation import evaluate
 from gainsieve.operators.folds import folded_table
-from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate, spark_settings, sweep
+from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
 
 
 @pytest.fixture(scope="module")
@@ -86,8 +86,8 @@ def test_landmark_map_reproduces_the_kernel(spark, table):
 
 
 def test_landmarks_are_bounded(table):
-    assert len(kernels.landmarks(table.df, table.rows, 1, wanted=20)) <= 20
-    same = [kernels.landmarks(table.df.repartition(n), table.rows, 1, wanted=20) for n in (1, 5)]
+    assert len(kernels.landmarks(table.df, 1, wanted=20)) <= 20
+    same = [kernels.landmarks(table.df.repartition(n), 1, wanted=20) for n in (1, 5)]
     assert (same[0] == same[1]).all()
 
 
@@ -185,17 +185,10 @@ def test_experiment(spark):
     assert ranked.orderBy("rank").first()["feature"] == "feature_0011"
     assert results.first()["accuracy"] > 0.7
     assert evaluate_within_folds(df, "key", nb, k=10).first()["accuracy"] > 0.7
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    runs, per_run = sweep(df, "key", [(1, 1, 1, 100, "one"), (8, 3, 3, 1000, "two")], nb, k=10)
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
-    assert [tuple(r)[:4] for r in runs.orderBy("exp_id").collect()] == [(1, 1, 1, 100), (8, 3, 3, 1000)]
-    assert {r["accuracy"] for r in per_run.collect()} == {results.first()["accuracy"]}
-
-
-def test_settings_are_restored_after_an_error(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    with pytest.raises(RuntimeError):
-        with spark_settings(spark, 3, 100):
-            assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
-            raise RuntimeError
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    best, _ = rank_and_evaluate(df, "key", nb, k=1)
+    assert [r["feature"] for r in best.collect()] == ["feature_0011"]
+    assert rank_and_evaluate(df, "key", nb, k=1)[1].first()["accuracy"] > 0.7
+    few = evaluate_within_folds(df.limit(8), "key", nb, k=3).first()
+    assert (few["accuracy"], few["status"]) == (0.0, "too few rows")
+    ragged = df.withColumn("features", F.when(F.col("key") % 3 == 0, F.slice("features", 1, 4)).otherwise(F.col("features")))
+    assert rank_and_evaluate(ragged, "key", nb, k=12)[1].first()["status"] == "ok"

@@ -60,7 +60,7 @@ def test_reports(spark):
     against = {r["exp_id"]: (r["speedup"], round(r["accuracy_change"], 9)) for r in P.against_first(runs, results).collect()}
     assert against == {2: (1.0, 0.0), 3: (2.0, -0.1), 4: (0.0, -0.8)}
     pivot = {r["exp_id"]: (r["a"], r["b"], r["c"]) for r in P.accuracy_table(runs, results, ["a", "b", "c"]).collect()}
-    assert pivot == {2: (0.8, 0.8, 0.0), 3: (0.7, 0.0, 0.0)}
+    assert pivot == {2: (0.8, 0.8, 0.0), 3: (0.7, 0.0, 0.0), 4: (0.0, 0.0, 0.0)}
     top = [(r["rank"], r["classifier"]) for r in P.top_classifiers(runs, results).orderBy("rank").collect()]
     assert top == [(1, "b"), (2, "a")]
     status = P.run_status(P.run_settings(spark), runs)
