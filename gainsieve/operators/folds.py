@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gainsieve.operators.ordering import any_of, row_ranks
+from gainsieve.operators.ordering import row_ranks, running_before
 from gainsieve.operators.profile import MAX_LISTED_CLASSES, class_index
 from gainsieve.operators.sampling import shuffle_key
+from gainsieve.session import materialise
 
 
 @dataclass(frozen=True)
@@ -45,49 +45,35 @@ def class_facts(df: DataFrame, label: str, order: Sequence[str]) -> dict[Any, in
     return {row[label]: row["n"] for row in sorted(rows, key=lambda r: tuple(r["first"]))}
 
 
-def fold_sizes(counts: dict[Any, int], folds: int) -> dict[Any, list[int]]:
-    """Rows of each class in each fold.
+def class_starts(df: DataFrame, label: str, order: Sequence[str]) -> DataFrame:
+    """``label, n, start``: rows of each class, and rows of the classes that first appear before it."""
+    found = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
+    return running_before(found, ["_first", label], "n", "start").drop("_first")
 
-    With all rows sorted by class, every ``folds``-th row counts toward the same fold, so
-    fold sizes differ by one row at most.
-    """
-
-    def dealt(rows: int, fold: int) -> int:
-        return (rows - fold + folds - 1) // folds
-
-    sizes, start = {}, 0
-    for cls, n in counts.items():
-        sizes[cls] = [dealt(start + n, f) - dealt(start, f) for f in range(folds)]
-        start += n
-    return sizes
 
-
-def stratified_folds(
-    df: DataFrame, label: str, order: Sequence[str], folds: int = 5, counts: dict[Any, int] | None = None
-) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, order: Sequence[str], folds: int = 5) -> DataFrame:
     """Add ``fold``: each class is cut into ``folds`` runs of consecutive rows in ``order``.
 
-    Only the last key of each run is looked up (classes x folds values), on the key
-    columns; the fold is then a comparison with these few, so wide rows are neither sorted
-    nor shuffled.
+    With all rows sorted by class, in the order in which classes first appear, every
+    ``folds``-th row counts toward the same fold, so fold sizes differ by one row at most.
+
+    Only the last key of each run is looked up, on the key columns; the fold is then a
+    comparison with the few keys of the row's class. Classes are rows of a table, however
+    many there are, and never a list.
     """
-    counts = counts or class_facts(df, label, order)
-    if max(counts.values()) < folds:
+    classes = materialise(class_starts(df, label, order))
+    if (classes.agg(F.max("n")).first()[0] or 0) < folds:
         raise ValueError(f"no class has {folds} rows")
-    ends = {cls: list(accumulate(sizes[:-1])) for cls, sizes in fold_sizes(counts, folds).items()}
-    wanted = any_of([(F.col(label) == F.lit(c)) & F.col("rank").isin(r) for c, r in ends.items()])
-    found = row_ranks(df.where(F.col(label).isNotNull()), [label], order).where(wanted).collect()
-    keys = {(row[label], row["rank"]): [row[c] for c in order] for row in found}
-
-    # One row per class, 1000 at most.
-    key_type = T.StructType([df.schema[c] for c in order])
-    bounds = df.sparkSession.createDataFrame(
-        [(cls, [keys.get((cls, r)) for r in ranks]) for cls, ranks in ends.items()],
-        T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("_ends", T.ArrayType(key_type))]),
-    )
+    # Rows with a place below x that count toward fold f: (x - f + folds - 1) div folds.
+    dealt = "((start + n - f + {k}) div {m}) - ((start - f + {k}) div {m})".format(k=folds - 1, m=folds)
+    sizes = F.expr(f"transform(sequence(0, {max(folds - 2, 0)}), f -> {dealt})") if folds > 1 else F.array().cast("array<bigint>")
+    upto = F.transform("_sizes", lambda _, i: F.aggregate(F.slice("_sizes", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    ends = classes.withColumn("_sizes", sizes).select(label, F.posexplode(upto).alias("_run", "rank"))
+    ranks = row_ranks(df.where(F.col(label).isNotNull()), [label], order)
     # A run that ends at rank 0 is empty and passed by every row.
-    passed = F.filter("_ends", lambda end: end.isNull() | (F.struct(*order) > end))
-    return df.join(F.broadcast(bounds), label).withColumn("fold", F.size(passed)).drop("_ends")
+    keys = ends.join(ranks, [label, "rank"], "left").groupBy(label).agg(F.collect_list(F.struct(F.struct(*order).alias("end"), (F.col("rank") == 0).alias("empty"))).alias("_ends"))
+    passed = F.filter("_ends", lambda e: e["empty"] | (F.struct(*order) > e["end"]))
+    return df.join(keys, label).withColumn("fold", F.size(passed)).drop("_ends")
 
 
 def held_out(keys: Sequence[str], seed: int = 42, tenths: int = 3) -> Column:
@@ -109,7 +95,7 @@ def folded_table(
         placed = df.where(F.col(label).isNotNull()).withColumn("fold", held_out([key]))
         folds, tested = 2, [1]
     else:
-        placed = stratified_folds(df, label, [key], folds, counts)
+        placed = stratified_folds(df, label, [key], folds)
         tested = list(range(folds))
     narrow = placed.select(
         F.col(key).alias("row_key"),

@@ -33,6 +33,18 @@ def row_ranks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
     )
 
 
+def running_before(df: DataFrame, order: Sequence[str], amount: str, start: str) -> DataFrame:
+    """Adds ``start``: the sum of ``amount`` over all rows earlier in ``order``, sorted by range as in ``row_ranks``."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    inside = Window.partitionBy("_part").orderBy("_at")
+    # One row per partition.
+    parts = placed.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    earlier = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_shift"))
+    within = placed.withColumn("_within", F.sum(amount).over(inside) - F.col(amount))
+    return within.join(earlier, "_part").withColumn(start, F.col("_shift") + F.col("_within")).drop("_part", "_at", "_within", "_shift")
+
+
 def _null_safe(rows: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` with the columns of ``extra`` where all keys agree, nulls included."""
     named = extra.withColumnsRenamed({k: f"_{k}_" for k in keys})

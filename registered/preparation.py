@@ -136,6 +136,12 @@ def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_folds(rows, "label", ["vec_id"])
 
 
+def q_stratified_folds_many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of classes, most with fewer rows than folds."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return stratified_folds(rows, "o_custkey", ["o_orderkey"])
+
+
 def q_stratified_folds_unbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return stratified_folds(rows, "quality", ["doc_id"])
@@ -164,6 +170,7 @@ QUERIES = {
     "select_top_five": q_select_top_five,
     "no_selected_feature": q_no_selected_feature,
     "stratified_folds": q_stratified_folds,
+    "stratified_folds_many_classes": q_stratified_folds_many_classes,
     "stratified_folds_unbalanced": q_stratified_folds_unbalanced,
     "holdout_split": q_holdout_split,
 }
@@ -217,6 +224,7 @@ ORACLES = {
     "fallback_selection": f"SELECT vec_id, CAST(pos AS INTEGER) AS pos, x + 0.0 AS x FROM ({CUT_CELLS}) WHERE pos < 5",
     "no_selected_feature": "SELECT vec_id, CAST(0 AS INTEGER) AS pos, CAST(0 AS DOUBLE) AS x FROM embeddings",
     "stratified_folds": folds_sql("embeddings", "label", "vec_id"),
+    "stratified_folds_many_classes": folds_sql("orders", "o_custkey", "o_orderkey"),
     "stratified_folds_unbalanced": folds_sql("labels", "quality", "doc_id"),
     "holdout_split": """
         SELECT doc_id, CAST(CAST('0x' || left(md5('42:' || doc_id), 8) AS BIGINT) % 10 >= 7 AS INTEGER) AS is_test FROM documents""",
