@@ -35,6 +35,13 @@ def parse_records(
     return lines.select("*", F.inline(extracted(F.col(column), numeric_strings, valid_only)))
 
 
+def record_counts(lines: DataFrame, column: str = "value", numeric_strings: bool = False) -> DataFrame:
+    """One row: lines, valid records among them, and rejected lines."""
+    kept = F.size(extracted(F.col(column), numeric_strings))
+    counted = lines.select(kept.alias("n")).agg(F.count("*").alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid"))
+    return counted.withColumn("n_rejected", F.col("n_lines") - F.col("n_valid"))
+
+
 def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
     """The original lines, byte for byte."""
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

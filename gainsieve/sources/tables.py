@@ -20,6 +20,7 @@ QUOTE = '"'
 
 # A character that no text file holds, so that a line stays one field.
 NO_SEPARATOR = "\x01"
+WHOLE_LINE = "_whole_line"
 
 
 def reject_duplicates(names: Iterable[str]) -> None:
@@ -57,7 +58,10 @@ def _line_reader(spark: SparkSession) -> DataFrameReader:
 
 
 def split_cells(line: Column, sep: str = ",") -> Column:
-    """The cells of a line; quoted ones may hold the separator, and quotes doubled."""
+    """The cells of a line; quoted ones may hold the separator, and quotes doubled.
+
+    A quote that is not closed is an error: the cell goes on in the next line.
+    """
     exact = re.escape(sep)
     pieces = F.regexp_extract_all(
         F.concat(F.lit(sep), line), F.lit(f'{exact}\\s*("([^"]|"")*+"[^{exact}]*|[^{exact}]*)'), F.lit(1)
@@ -66,7 +70,10 @@ def split_cells(line: Column, sep: str = ",") -> Column:
         pieces,
         lambda piece: F.when(
             piece.startswith(QUOTE),
-            F.replace(F.regexp_extract(piece, '^"(([^"]|"")*+)"', 1), F.lit(QUOTE * 2), F.lit(QUOTE)),
+            F.when(
+                piece.rlike('^"([^"]|"")*+"'),
+                F.replace(F.regexp_extract(piece, '^"(([^"]|"")*+)"', 1), F.lit(QUOTE * 2), F.lit(QUOTE)),
+            ).otherwise(F.raise_error(F.concat(F.lit("a quoted cell is not closed on its line: "), F.left(line, F.lit(200))))),
         ).otherwise(piece),
     )
     return F.when(line.contains(QUOTE), unquoted).otherwise(F.split(line, exact))
@@ -84,23 +91,36 @@ def read_cells(spark: SparkSession, path: str, sep: str = ",") -> CellTable:
     """A CSV file, folder or glob with one header per file.
 
     Every file must have the same header line, else the read fails. Cells past the
-    header are dropped, missing ones at the end of a line are left out.
+    header are dropped, missing ones at the end of a line are left out. Rows are lines, so
+    large files are read in splits; a quoted cell that spans lines fails the read, see
+    ``read_table`` with ``multi_line``.
     """
     text, names = _header(spark, path, sep)
     lines = (
         _line_reader(spark)
         .option("header", True)
         .option("enforceSchema", False)
-        .schema(T.StructType([T.StructField(text, T.StringType())]))
+        .option("columnNameOfCorruptRecord", WHOLE_LINE)
+        .schema(T.StructType([T.StructField(text, T.StringType()), T.StructField(WHOLE_LINE, T.StringType())]))
         .csv(path)
-        .toDF("line")
+        # A line that holds the separator byte itself comes as a whole in the other column.
+        .select(F.coalesce(F.col(WHOLE_LINE), F.col(f"`{text}`")).alias("line"))
     )
     cells = F.slice(split_cells(F.col("line"), sep), 1, len(names))
     return CellTable(lines.where(F.col("line").isNotNull()).select(cells.alias("cells")), names)
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The same as one text column per name, cells trimmed and empty ones null."""
+def read_table(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """The same as one text column per name, cells trimmed and empty ones null.
+
+    With ``multi_line`` quoted cells may span lines; each file is then read by one task.
+    """
+    if multi_line:
+        rows = spark.read.options(header=True, sep=sep, escape=QUOTE, multiLine=True).csv(path)
+        names = [name.strip() for name in rows.columns]
+        reject_duplicates(names)
+        cells = [stripped(F.col(f"`{c}`")) for c in rows.columns]
+        return rows.select(*[F.when(c != "", c).alias(name) for c, name in zip(cells, names)])
     table = read_cells(spark, path, sep)
     cells = [stripped(F.get("cells", F.lit(i))) for i in range(len(table.columns))]
     return table.df.select(*[F.when(c != "", c).alias(name) for c, name in zip(cells, table.columns)])

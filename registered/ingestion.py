@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gainsieve.functions.vectors import feature_names
 from gainsieve.operators.ranking import labelled_text, melt_columns, rank_cells, rank_table, with_names
 from gainsieve.operators.scaling import first_vector
-from gainsieve.plans.prepare import balanced_lines, feature_table
+from gainsieve.plans.prepare import balanced_lines, feature_table, prepare
 from gainsieve.session import scratch_path
-from gainsieve.sources.jsonl import parse_records, read_lines, write_lines
+from gainsieve.sources.jsonl import parse_records, read_lines, record_counts, write_lines
 from gainsieve.sources.scores import read_scores, write_scores
 from gainsieve.sources.tables import feature_columns, read_cells, read_table, resolve_target, write_table
 from registered.ranking import LABELS_SQL
@@ -54,6 +55,26 @@ def q_valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("widest"))
 
 
+def q_rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_counts(records(spark, sf_dir))
+
+
+def q_prepared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines to a balanced, scaled CSV table: the whole preparation, on records of one width."""
+    source = scratch_path(spark, "records")
+    write_lines(records(spark, sf_dir).where("doc_id % 6 < 2").orderBy("doc_id"), source)
+    made = prepare(spark, source, scratch_path(spark, "sample"), scratch_path(spark, "table"), n=30)
+    return rounded(made, *feature_names(3))
+
+
+def q_csv_cells_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with their line breaks, through a CSV file."""
+    path = scratch_path(spark, "texts")
+    write_table(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back = read_table(spark, path, multi_line=True)
+    return back.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.md5("text").alias("digest"))
+
+
 def _written(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "records")
     write_lines(records(spark, sf_dir).orderBy("doc_id"), path)
@@ -138,6 +159,9 @@ QUERIES = {
     "label_from_record": q_label_from_record,
     "features_from_record": q_features_from_record,
     "valid_records": q_valid_records,
+    "rejected_records": q_rejected_records,
+    "prepared_table": q_prepared_table,
+    "csv_cells_across_lines": q_csv_cells_across_lines,
     "jsonl_round_trip": q_jsonl_round_trip,
     "balanced_lines": q_balanced_lines,
     "first_width": q_first_width,
@@ -166,6 +190,11 @@ PREPARED_SQL = f"""
     FROM c JOIN b USING (pos)
 """
 
+SCALED_COLUMNS = ", ".join(
+    f"round(CASE WHEN max(v[{i}]) OVER () > min(v[{i}]) OVER () THEN (v[{i}] - min(v[{i}]) OVER ()) * 1.0 / (max(v[{i}]) OVER () - min(v[{i}]) OVER ()) ELSE 0 END, 6) + 0.0 AS feature_{i - 1:04d}"
+    for i in (1, 2, 3)
+)
+
 ORACLES = {
     "label_from_record": f"""
         SELECT doc_id, CASE WHEN doc_id % 6 <> 4 THEN CAST(quality AS BIGINT) END AS label FROM ({DOCS}) WHERE doc_id % 6 <> 5""",
@@ -175,6 +204,14 @@ ORACLES = {
     "valid_records": f"""
         SELECT CAST(quality AS BIGINT) AS label, count(*) AS n, CAST(max(len(v)) AS INTEGER) AS widest
         FROM ({FEATURES_SQL}) WHERE doc_id % 6 <> 4 GROUP BY quality""",
+    "rejected_records": f"""
+        SELECT count(*) AS n_lines, count(*) FILTER (doc_id % 6 NOT IN (4, 5)) AS n_valid,
+               count(*) FILTER (doc_id % 6 IN (4, 5)) AS n_rejected FROM ({DOCS})""",
+    "prepared_table": f"""
+        WITH f AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS place FROM ({FEATURES_SQL}) WHERE doc_id % 6 < 2),
+        s AS (SELECT * FROM f WHERE place <= 30)
+        SELECT {SCALED_COLUMNS}, CAST(quality AS BIGINT) AS label FROM s""",
+    "csv_cells_across_lines": "SELECT doc_id, md5(text) AS digest FROM documents",
     "jsonl_round_trip": f"""
         SELECT lang, CAST(quality AS BIGINT) AS label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_text
         FROM ({DOCS}) WHERE doc_id % 6 NOT IN (4, 5) GROUP BY lang, quality""",

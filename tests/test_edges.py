@@ -5,6 +5,7 @@ import pytest
 from gainsieve import session
 from gainsieve.operators.sampling import first_per_class, first_rows
 from gainsieve.sources.scores import read_scores, write_scores
+from gainsieve.sources.tables import read_table, write_table
 
 
 def test_scores_keep_any_name(spark, tmp_path):
@@ -42,3 +43,16 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_csv_loses_nothing(spark, tmp_path):
+    texts = ["a\nb", "x\x01y", 'say "no"', "plain, with comma"]
+    rows = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "key int, note string, label int")
+    write_table(rows, str(tmp_path / "all"))
+    back = read_table(spark, str(tmp_path / "all"), multi_line=True)
+    assert sorted((r["key"], r["note"]) for r in back.collect()) == [(str(i), t) for i, t in enumerate(texts)]
+    with pytest.raises(Exception, match="not closed"):
+        read_table(spark, str(tmp_path / "all")).collect()
+    write_table(rows.where("key > 0"), str(tmp_path / "lines"))
+    back = read_table(spark, str(tmp_path / "lines"))
+    assert sorted((r["key"], r["note"], r["label"]) for r in back.collect()) == [(str(i), t, str(i % 2)) for i, t in enumerate(texts) if i]
