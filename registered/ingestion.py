@@ -90,9 +90,9 @@ def q_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_balanced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thirty valid lines of each class, by their place in the file."""
+    """Which documents the first thirty valid lines of each class, by their place in the file, are."""
     sample = balanced_lines(spark, _written(spark, sf_dir), 30)
-    return sample.select("label", F.xxhash64("value").alias("h")).groupBy("label").agg(F.countDistinct("h").alias("n_lines"))
+    return sample.select("label", "value").join(records(spark, sf_dir), "value").select("doc_id", "label")
 
 
 def q_first_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,8 @@ ORACLES = {
         SELECT lang, CAST(quality AS BIGINT) AS label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_text
         FROM ({DOCS}) WHERE doc_id % 6 NOT IN (4, 5) GROUP BY lang, quality""",
     "balanced_lines": f"""
-        SELECT CAST(quality AS BIGINT) AS label, least(count(*), 30) AS n_lines FROM ({DOCS}) WHERE doc_id % 6 NOT IN (4, 5) GROUP BY quality""",
+        SELECT doc_id, CAST(quality AS BIGINT) AS label
+        FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS place FROM ({DOCS}) WHERE doc_id % 6 NOT IN (4, 5)) WHERE place <= 30""",
     "first_width": f"""
         SELECT CAST(len(v) AS INTEGER) AS width, CAST(len(list_filter(v, lambda x: x <> 0)) AS INTEGER) AS nonzero
         FROM ({FEATURES_SQL}) WHERE doc_id % 6 <> 4 ORDER BY doc_id LIMIT 1""",
