@@ -169,8 +169,10 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", shingle: int =
     found = materialise(fingerprints(df, key, text, shingle))
     values = materialise(found.groupBy("fp").agg(F.min("k").alias("least")))
     components = connected_components(near_links(values.select("fp"), radius))
-    named = values.join(components, values["fp"] == components["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = values.join(components, values["fp"] == components["node"], "left")
+    named = materialise(named.select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    # Stored, so that both sides of the join are dealt for it and a large component can be split.
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")))
     named = named.join(least, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.join(named, "fp").select(F.col("k").alias(key), digits.alias("fingerprint"), "component_id")
