@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gainsieve.functions.vectors import vector_width
 from gainsieve.models import naive_bayes, neighbours
-from gainsieve.models.boosting import boosted_prediction, fit_boosted_stumps
+from gainsieve.models.boosting import BINS, boosted_prediction, fit_boosted_folds
 from gainsieve.models.kernels import LANDMARKS, fit_kernel_svm
 from gainsieve.operators.folds import FoldedTable
 
@@ -112,13 +112,16 @@ def kernel_svm(kernel: str, landmarks: int = LANDMARKS) -> FoldPredictor:
     return per_fold(fit)
 
 
-def ada_boost(rounds: int = 100) -> FoldPredictor:
-    def fit(training: DataFrame, table: FoldedTable) -> Callable[[DataFrame], DataFrame]:
-        stumps = fit_boosted_stumps(training, len(table.classes), rounds, SEED)
-        best = boosted_prediction(stumps, len(table.classes), F.col("features"))
-        return lambda df: df.withColumn("prediction", best)
+def ada_boost(rounds: int = 100, bins: int = BINS) -> FoldPredictor:
+    """All folds are fitted in the same passes."""
 
-    return per_fold(fit)
+    def predict(table: FoldedTable) -> DataFrame:
+        classes = len(table.classes)
+        stumps = fit_boosted_folds(table.df, classes, table.tested, rounds, bins)
+        guesses = [F.when(F.col("fold") == f, boosted_prediction(s, classes, F.col("features"))) for f, s in zip(table.tested, stumps, strict=True)]
+        return table.df.where(F.col("fold").isin(table.tested)).select("row_key", "fold", "label_index", F.coalesce(*guesses).alias("prediction"))
+
+    return predict
 
 
 # The two sets of classifiers, in report order.
