@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gainsieve.models import classifiers as C
 from gainsieve.models import kernels, naive_bayes, neighbours
-from gainsieve.models.boosting import Stump, boosted_prediction, fit_boosted_stumps
+from gainsieve.models.boosting import Stump, boosted_prediction, fit_boosted_folds, fit_boosted_stumps
 from gainsieve.models.evaluation import evaluate
 from gainsieve.operators.folds import folded_table
 from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
@@ -55,6 +55,16 @@ def test_naive_bayes_equals_brute_force(table):
             assert predicted[i] == int(np.argmax([s[i] for s in scores]))
 
 
+def test_naive_bayes_in_several_passes(table):
+    predicted = naive_bayes.predict_folds(table, broadcast_bytes=0)
+    assert by_key(predicted) == by_key(naive_bayes.predict_folds(table))
+
+
+def test_neighbours_refuse_large_tables(table):
+    with pytest.raises(ValueError, match="most_rows"):
+        neighbours.nearest(table, most_rows=149)
+
+
 @pytest.mark.parametrize("block_rows", [20, 10_000])
 def test_neighbours_equal_brute_force(table, block_rows):
     x, y, folds = arrays(table)
@@ -127,6 +137,29 @@ def test_boosting_equals_brute_force(spark):
     assert np.mean(np.array(found) == boosted_by_hand(x, y, thresholds, 8)) > 0.97
 
 
+def test_boosted_folds_equal_separate_fits(spark):
+    """Three classes, values that are null, NaN or missing, and rounds past a write of the weights."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(90):
+        v = [float(rng.randrange(7)), rng.choice([None, float("nan"), 1.0, 2.0]), float(rng.randrange(4))]
+        rows.append((i % 3, v[: rng.choice([2, 3])], min(2, int(v[0] + rng.choice([0, 1])) // 3)))
+    df = spark.createDataFrame(rows, "fold int, features array<double>, label_index int")
+    together = fit_boosted_folds(df, 3, [0, 2], rounds=27)
+    for fold, stumps in zip([0, 2], together, strict=True):
+        alone = fit_boosted_stumps(df.where(f"fold <> {fold}"), 3, rounds=27)
+        assert [(s.feature, s.below, s.above) for s in stumps[:5]] == [(s.feature, s.below, s.above) for s in alone[:5]]
+        assert len(stumps) == 27
+        guess = boosted_prediction(stumps, 3, F.col("features")).cast("int")
+        assert df.where(f"fold <> {fold}").select(F.avg((guess == F.col("label_index")).cast("int"))).first()[0] > 0.7
+
+
+def test_boosting_without_rows_or_features(spark):
+    empty = spark.createDataFrame([], "features array<double>, label_index int")
+    assert fit_boosted_stumps(empty, 2, rounds=3) == []
+    assert fit_boosted_stumps(spark.createDataFrame([([], 1)], empty.schema), 2, rounds=3) == []
+
+
 def test_boosted_vote_ties_go_to_the_lower_class(spark):
     stumps = [Stump(0, 0.0, 2, 1, 1.0), Stump(0, 0.0, 1, 2, 1.0)]
     df = spark.createDataFrame([([1.0],)], "features array<double>")
