@@ -13,12 +13,13 @@ compared as hashes, of 128 bits together for runs and 96 for windows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from gainsieve.llm.packed import bucket_of, pack, runs_of, unpack
 from gainsieve.llm.words import mixed
@@ -31,7 +32,7 @@ DIGIT = 32
 CHUNK, BUCKET_BYTES, BUCKET_WINDOWS, HELD_RUNS = 1 << 18, 1 << 24, 1 << 19, 1 << 18
 NO_KEY = -(1 << 63)
 _PLACE = (1 << 20) - 1
-SPANS = "doc long, lo long, n long"
+SPANS = "doc long, row long, lo long, n long"
 
 
 def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,14 +115,14 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
     return first, second
 
 
-def _spans(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted window starts of documents as runs ``doc, lo, n``."""
+def _spans(docs: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts of documents as runs ``doc, row, lo, n``."""
     if not len(docs):
-        return docs, starts, starts
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order]
-    firsts = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    return docs[firsts], starts[firsts], np.diff(np.append(firsts, len(docs)))
+        return docs, rows, starts, starts
+    order = np.lexsort((starts, rows, docs))
+    docs, rows, starts = docs[order], rows[order], starts[order]
+    firsts = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    return docs[firsts], rows[firsts], starts[firsts], np.diff(np.append(firsts, len(docs)))
 
 
 def _firsts(*columns: np.ndarray) -> np.ndarray:
@@ -142,12 +143,12 @@ def _sent(buckets: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in buckets], pa.int32()), pa.array([d for _, d in buckets], pa.binary())], names=["bucket", "data"])
 
 
-def _known(docs: np.ndarray, lo: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+def _known(docs: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
     """Spans that need no more comparing, dealt to buckets below 0 by their documents."""
-    at = (mixed(docs.astype(_U64)) % _U64(buckets)).astype(np.int64)
+    at = (mixed(docs.astype(_U64) ^ rows.astype(_U64)) % _U64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    at, docs, lo, n = at[order], docs[order], lo[order], n[order]
-    return [(-1 - b, pack(docs[r], lo[r], n[r])) for b, r in runs_of(at)]
+    at, docs, rows, lo, n = at[order], docs[order], rows[order], lo[order], n[order]
+    return [(-1 - b, pack(docs[r], rows[r], lo[r], n[r])) for b, r in runs_of(at)]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -163,32 +164,32 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
 
 
 def _runs_of_rows(docs: DataFrame, bits: int, window: int, digit: int) -> DataFrame:
-    """First pass: the runs of windows of ``doc, t`` by bucket of their first digit.
+    """First pass: the runs of windows of ``doc, row, t`` by bucket of their first digit.
 
-    Of equal runs in a task only the first is sent to be compared; the others are known.
+    Of equal runs in a task only those at the first place are sent to be compared; the others are known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> pa.RecordBatch:
-            k, f, doc, lo, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((lo, doc, f, k))
-            k, f, doc, lo, n = k[order], f[order], doc[order], lo[order], n[order]
-            new = _firsts(k, f)
-            later = _later(new, doc, lo)
-            out = _known(doc[later], lo[later], n[later], 1 << bits)
-            k, f, doc, lo, n = k[new], f[new], doc[new], lo[new], n[new]
-            return _sent(out + [(b, pack(k[r], f[r], doc[r], lo[r], n[r])) for b, r in runs_of(bucket_of(k, bits, 64))])
+            k, f, doc, no, lo, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((no, lo, doc, f, k))
+            k, f, doc, no, lo, n = k[order], f[order], doc[order], no[order], lo[order], n[order]
+            later = _later(_firsts(k, f), doc, lo)
+            out = _known(doc[later], no[later], lo[later], n[later], 1 << bits)
+            new = ~later & _firsts(k, f, doc, lo, no)
+            k, f, doc, no, lo, n = k[new], f[new], doc[new], no[new], lo[new], n[new]
+            return _sent(out + [(b, pack(k[r], f[r], doc[r], no[r], lo[r], n[r])) for b, r in runs_of(bucket_of(k, bits, 64))])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for first, last, data, bounds in _texts(batch, 1):
+            keys, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, last, data, bounds in _texts(batch, 2):
                 for at in range(0, max(1, len(data) - window + 1), CHUNK):
                     part = data[at : at + CHUNK + window - 1] if last == first + 1 else data
                     k, f, starts, n = window_runs(part, bounds if last > first + 1 else np.array([0, len(part)]), window, digit)
                     row = np.searchsorted(bounds, starts, "right") - 1 if last > first + 1 else np.zeros(len(starts), np.int64)
-                    held.append((k, f, keys[first + row], starts + at - bounds[row], n))
+                    held.append((k, f, keys[first + row], numbers[first + row], starts + at - bounds[row], n))
                     if last > first + 1:
                         break
             if sum(len(h[0]) for h in held) >= HELD_RUNS:
@@ -201,54 +202,54 @@ def _runs_of_rows(docs: DataFrame, bits: int, window: int, digit: int) -> DataFr
 
 
 def _compare_runs(sent: DataFrame) -> DataFrame:
-    """Second pass: ``doc, lo, n, found``; found spans repeat earlier text, the others must be compared by window."""
+    """Second pass: ``doc, row, lo, n, found``; found spans repeat earlier text, the others must be compared by window."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            doc, lo, n = (np.concatenate(c).astype(np.int64) for c in zip(*(unpack(b, 3) for b in group["data"].to_pylist()), strict=True))
+            doc, no, lo, n = (np.concatenate(c).astype(np.int64) for c in zip(*(unpack(b, 4) for b in group["data"].to_pylist()), strict=True))
             found = np.ones(len(doc), bool)
         else:
-            k, f, doc, lo, n = (np.concatenate(c) for c in zip(*(unpack(b, 5) for b in group["data"].to_pylist()), strict=True))
-            doc, lo, n = doc.astype(np.int64), lo.astype(np.int64), n.astype(np.int64)
-            order = np.lexsort((lo, doc, f, k))
-            k, f, doc, lo, n = k[order], f[order], doc[order], lo[order], n[order]
+            k, f, doc, no, lo, n = (np.concatenate(c) for c in zip(*(unpack(b, 6) for b in group["data"].to_pylist()), strict=True))
+            doc, no, lo, n = doc.astype(np.int64), no.astype(np.int64), lo.astype(np.int64), n.astype(np.int64)
+            order = np.lexsort((no, lo, doc, f, k))
+            k, f, doc, no, lo, n = k[order], f[order], doc[order], no[order], lo[order], n[order]
             new = _firsts(k, f)
             group_of = np.cumsum(_firsts(k)) - 1
             several = np.bincount(group_of, weights=new)[group_of] > 1 if len(k) else new
             later = _later(new, doc, lo)
-            kept = later | new & several
-            doc, lo, n, found = doc[kept], lo[kept], n[kept], later[kept]
-        return pa.table({"doc": doc, "lo": lo, "n": n, "found": found})
+            kept = later | several & _firsts(k, f, doc, lo, no)
+            doc, no, lo, n, found = doc[kept], no[kept], lo[kept], n[kept], later[kept]
+        return pa.table({"doc": doc, "row": no, "lo": lo, "n": n, "found": found})
 
     return sent.groupBy("bucket").applyInArrow(run, SPANS + ", found boolean")
 
 
 def _windows_of_rows(docs: DataFrame, open_runs: DataFrame, bits: int, window: int) -> DataFrame:
     """Last pass, first half: hashes of the windows of ``open_runs`` by bucket; again equal windows of a task are sent once."""
-    wanted = open_runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    rows = docs.join(wanted, "doc").select("doc", "z", "runs")
+    wanted = open_runs.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    rows = docs.join(wanted, ["doc", "row"]).select("doc", "row", "z", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> pa.RecordBatch:
-            a, b, doc, s = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((s, doc, b, a))
-            a, b, doc, s = a[order], b[order], doc[order], s[order]
-            new = _firsts(a, b)
-            later = _later(new, doc, s)
-            out = _known(*_spans(doc[later], s[later]), 1 << bits)
-            a, b, doc, s = a[new], b[new], doc[new], s[new]
-            return _sent(out + [(k, pack(a[r], b[r], doc[r], s[r])) for k, r in runs_of(bucket_of(a, bits, 64))])
+            a, b, doc, no, s = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((no, s, doc, b, a))
+            a, b, doc, no, s = a[order], b[order], doc[order], no[order], s[order]
+            later = _later(_firsts(a, b), doc, s)
+            out = _known(*_spans(doc[later], no[later], s[later]), 1 << bits)
+            new = ~later & _firsts(a, b, doc, s, no)
+            a, b, doc, no, s = a[new], b[new], doc[new], no[new], s[new]
+            return _sent(out + [(k, pack(a[r], b[r], doc[r], no[r], s[r])) for k, r in runs_of(bucket_of(a, bits, 64))])
 
         for batch in batches:
-            for doc, z, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, no, z, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 lo, n = runs.values.field("lo").to_numpy(), runs.values.field("n").to_numpy()
                 order = np.argsort(lo)
                 lo, n = lo[order], n[order]
                 starts = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
                 data = np.frombuffer(zstandard.decompress(z.as_py()), np.uint8)
-                held.append((*_window_hashes(data, starts, window), np.full(len(starts), doc, np.int64), starts))
+                held.append((*_window_hashes(data, starts, window), np.full(len(starts), doc, np.int64), np.full(len(starts), no, np.int64), starts))
                 if sum(len(h[0]) for h in held) >= 4 * HELD_RUNS:
                     yield send()
                     held = []
@@ -263,15 +264,15 @@ def _compare_windows(sent: DataFrame) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            doc, lo, n = (np.concatenate(c).astype(np.int64) for c in zip(*(unpack(b, 3) for b in group["data"].to_pylist()), strict=True))
+            doc, no, lo, n = (np.concatenate(c).astype(np.int64) for c in zip(*(unpack(b, 4) for b in group["data"].to_pylist()), strict=True))
         else:
-            a, b, doc, s = (np.concatenate(c) for c in zip(*(unpack(b, 4) for b in group["data"].to_pylist()), strict=True))
-            doc, s = doc.astype(np.int64), s.astype(np.int64)
+            a, b, doc, no, s = (np.concatenate(c) for c in zip(*(unpack(b, 5) for b in group["data"].to_pylist()), strict=True))
+            doc, no, s = doc.astype(np.int64), no.astype(np.int64), s.astype(np.int64)
             order = np.lexsort((s, doc, b, a))
-            doc, s = doc[order], s[order]
+            doc, no, s = doc[order], no[order], s[order]
             later = _later(_firsts(a[order], b[order]), doc, s)
-            doc, lo, n = _spans(doc[later], s[later])
-        return pa.table({"doc": doc, "lo": lo, "n": n})
+            doc, no, lo, n = _spans(doc[later], no[later], s[later])
+        return pa.table({"doc": doc, "row": no, "lo": lo, "n": n})
 
     return sent.groupBy("bucket").applyInArrow(run, SPANS)
 
@@ -281,16 +282,17 @@ def _bits(amount: int, each: int) -> int:
 
 
 def repeated_spans(docs: DataFrame, compressed: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
-    """``doc, lo, n``: windows ``lo .. lo + n - 1`` of a document that also start earlier.
+    """``doc, row, lo, n``: windows ``lo .. lo + n - 1`` of a document that also start earlier.
 
-    ``docs`` has ``doc long, t binary``, ``compressed`` the same texts as ``z``.
+    ``docs`` has ``doc long, row long, t binary``, ``compressed`` the same texts as ``z``. ``row``
+    tells texts under one ``doc`` apart; it takes no part in what is earlier.
     """
     size = docs.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     runs = materialise(_compare_runs(_runs_of_rows(docs, _bits(size, BUCKET_BYTES), window, digit)))
-    open_runs = runs.where("NOT found").select("doc", "lo", "n")
+    open_runs = runs.where("NOT found").select("doc", "row", "lo", "n")
     many = open_runs.agg(F.sum("n")).first()[0] or 0
     windows = _compare_windows(_windows_of_rows(compressed, open_runs, _bits(many, BUCKET_WINDOWS), window))
-    return runs.where("found").select("doc", "lo", "n").unionByName(windows)
+    return runs.where("found").select("doc", "row", "lo", "n").unionByName(windows)
 
 
 def _kept(data: np.ndarray, lo: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -302,34 +304,57 @@ def _kept(data: np.ndarray, lo: np.ndarray, n: np.ndarray, window: int) -> np.nd
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text ``t`` as ``z``; all other columns stay."""
+    fields = [f for f in docs.schema.fields if f.name != "t"]
+    names = [f.name for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
+            packed = pa.array([compress(t) for t in batch.column("t").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), packed], names=[*names, "z"])
+
+    return docs.mapInArrow(run, StructType([*fields, StructField("z", BinaryType())]))
 
-    return docs.mapInArrow(run, "doc long, z binary")
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, which differs between texts under one ``doc`` and is equal for repeated rows.
 
-def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, digit: int = DIGIT, as_text: bool = False) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept`` for every row.
+    It is the text's hash, so it needs no stored copy of the texts. Where no key but null has
+    two texts, it is 0 for all other keys and takes no room.
+    """
+    hashed = F.xxhash64("t")
+    texts = docs.where(F.col("doc") != NO_KEY).select("doc", hashed.alias("h")).groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    several = bool(texts.where("a <> b").limit(1).count())
+    return docs.withColumn("row", hashed if several else F.when(F.col("doc") == NO_KEY, hashed).otherwise(F.lit(0)).cast("long"))
+
+
+def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, digit: int = DIGIT, as_text: bool = False, carry: Sequence[Column] = ()) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept`` for every row, and the columns of ``carry`` as ``carried``, a struct.
 
     ``kept`` are the bytes left (binary, or with ``as_text`` the whole characters among them
     as text) when every byte goes that lies in a ``window``-byte
     string which also starts earlier: in a row of a smaller key, or in the same row before.
     Strings are judged on the input. ``n_spans`` counts maximal runs of removed bytes.
 
-    ``key`` is a long and should be unique; rows with one key are not earlier than each other
-    at the same start. A null key counts as the smallest. Null and empty texts have 0 bytes,
+    ``key`` is a long and should be unique. Rows with one key are judged each by its own text;
+    a string in one of them is earlier than in another only if its start is smaller, so repeated
+    rows all stay. A null key counts as the smallest. Null and empty texts have 0 bytes,
     texts shorter than a window stay. An empty table gives none.
     """
-    docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
-    compressed = _compressed(docs)
-    spans = repeated_spans(docs, compressed, window, digit).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    docs = _numbered(df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"), *carried))
+    compressed = _compressed(docs.select("doc", "row", "t", *["carried"] * bool(carry)))
+    spans = repeated_spans(docs.select("doc", "row", "t"), compressed.select("doc", "row", "z"), window, digit)
+    spans = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    both = compressed.join(spans, ["doc", "row"], "left").drop("row")
+    fields = [f for f in both.schema.fields if f.name in ("doc", "carried")]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for z, found in zip(batch.column(1), batch.column(2), strict=True):
+            for z, found in zip(batch.column("z"), batch.column("spans"), strict=True):
                 data = np.frombuffer(zstandard.decompress(z.as_py()), np.uint8)
                 if not found.is_valid:
                     out.append((len(data), 0, 0, data.tobytes()))
@@ -340,9 +365,8 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = WI
             if as_text:
                 out = [(*o[:3], o[3].decode("utf-8", "ignore")) for o in out]
             columns = [pa.array([o[i] for o in out], pa.int64() if i < 3 else pa.string() if as_text else pa.binary()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    left = compressed.join(spans, "doc", "left").mapInArrow(run, f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
-    return left.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
-
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
+    counts = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    left = both.mapInArrow(run, StructType([*fields, *counts, StructField("kept", StringType() if as_text else BinaryType())]))
+    return left.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias(key), "n_bytes", "n_removed", "n_spans", "kept", *names[1:])

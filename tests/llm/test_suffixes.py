@@ -62,3 +62,17 @@ def test_least_over():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for width in range(1, 20):
         assert suffixes._least_over(x, width).tolist() == [min(x[i : i + width]) for i in range(50 - width + 1)]
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_under_one_key(spark, key):
+    """Every text keeps what only it holds, and its spans stay within it."""
+    dice = random.Random(5)
+    text = lambda n: "".join(dice.choices("abcdefgh ", k=n))
+    shared, again = text(60), text(40)
+    rows = [(key, text(20) + shared + text(50)), (key, text(300) + again + again), (key, text(35)), (key, ""), (3, text(90) + shared), (9, again + text(10))]
+    rows += [(key, shared + text(9)), (key, shared + text(9)), rows[1], (8, shared + text(70)), (None, text(50) + again), (None, again)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 6):
+        got = suffixes.remove_repeats(df.repartition(parts), "doc_id", window=30, digit=12).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == plain(rows, 30)
