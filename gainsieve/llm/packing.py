@@ -23,6 +23,8 @@ from gainsieve.session import materialise
 
 #: The ranks of ``byte_bpe_50k.json``: the same vocabulary, ids and split pattern.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Where its added tokens are; a text that holds their strings is split at them.
+ADDED = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
 SEPARATOR_ID = 0
 #: A larger plan is joined by shuffling; both ways give one result.
@@ -30,7 +32,7 @@ MOST_BROADCAST_SLOTS = 200_000
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS, with_ids: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS, with_ids: bool = False, added: str | None = ADDED) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` (and ``ids``) for the pieces of every document.
 
     A document is its ids and a closing 0, so a null or empty text is one token. Only longer
@@ -38,11 +40,11 @@ def token_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CA
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = rank_encoding(ranks)
+        encoding = rank_encoding(ranks, added)
         for batch in batches:
             rows, out = [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encoding.encode_to_numpy(t or "", disallowed_special=()), SEPARATOR_ID).astype("<u4")
+                ids = np.append(encoding.encode_to_numpy(t or "", allowed_special="all"), SEPARATOR_ID).astype("<u4")
                 first = len(ids) % capacity or capacity
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -137,6 +139,6 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS) -> DataFrame:
+def pack_documents(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS, added: str | None = ADDED) -> DataFrame:
     """Pieces of all documents with their places. Repeated rows are packed as often as they occur."""
-    return pack(materialise(token_pieces(df, key, text, capacity, ranks)), key, capacity)
+    return pack(materialise(token_pieces(df, key, text, capacity, ranks, added=added)), key, capacity)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import cache
 
 import numpy as np
@@ -11,11 +12,20 @@ import tiktoken
 
 
 @cache
-def rank_encoding(path: str) -> tiktoken.Encoding:
-    """The encoding of a file of ranks, one per worker process."""
+def rank_encoding(path: str, added: str | None = None) -> tiktoken.Encoding:
+    """The encoding of a file of ranks, one per worker process; ``added`` is a JSON file whose added tokens it knows as special ones."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(added) if added else {})
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a JSON tokenizer, which it reads inside a text before anything else."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{path}: added tokens that take in what stands beside them are not supported")
+    return {t["content"]: t["id"] for t in tokens}
 
 
 @cache

@@ -115,3 +115,18 @@ def test_plan_covers_counts():
                 for r in range(lo, hi + 1)
             ]
             check_packed(rows, capacity)
+
+
+def test_added_tokens_inside_texts(spark):
+    """The ids of the JSON tokenizer as it loads, which reads its added token inside a text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    dice = random.Random(3)
+    texts = [f"a {end} b", end, end * 3, f"\n{end}\n", f"x  {end}  y", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>", "plain", ""]
+    texts += ["".join(dice.choices([end, " ", "a", "\n", "<|", "é", "12"], k=30)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.token_pieces(df, "doc_id", with_ids=True).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, packing.SEPARATOR_ID] for i, t in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, packing.SEPARATOR_ID]
