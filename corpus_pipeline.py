@@ -1,7 +1,8 @@
 """From ``documents`` to packed training sequences in five stages.
 
 Every stage takes what its predecessor kept, written and read again; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Rows are judged each by its own text: ``doc_id`` may be
+null or repeated, and only tells which row of a group stays or which passage is earlier.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gainsieve.llm.common import others, table
 from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import clean_documents
-from gainsieve.llm.queries import TOXIC_FROM, toxicity_scores
+from gainsieve.llm.queries import TOXIC_FROM, toxicity_model
 from gainsieve.llm.simhash import near_duplicates
 from gainsieve.llm.suffixes import remove_repeats
+from gainsieve.llm.toxicity import with_scores
 from gainsieve.session import materialise
 
 
@@ -33,24 +35,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
-    scores = toxicity_scores(spark, docs.select("doc_id", "text"), sf_dir)
-    clean = scores.where(F.col("score") < TOXIC_FROM).select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_semi")
+    return with_scores(docs, toxicity_model(spark, sf_dir), score="_score").where(F.col("_score") < TOXIC_FROM).drop("_score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate component."""
-    found = near_duplicates(docs.select("doc_id", "text"), "doc_id")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of every near-duplicate component: that with the smallest id, a null id being the last choice.
+
+    Rows are told apart by a hash of all their columns; of rows equal in all of them one stays.
+    """
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), row.alias("row"))
+    found = near_duplicates(docs.select(key.alias("_key"), "text"), "_key")
+    kept = found.where("_key = component_id").select(F.col("_key.row").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(kept, "_row").dropDuplicates(["_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without passages that occur earlier; a character cut apart is dropped as well."""
-    left = remove_repeats(docs.select("doc_id", "text"), "doc_id", as_text=True).where("n_removed > 0")
-    left = left.select("doc_id", F.col("kept").alias("_left"))
-    both = docs.join(left, "doc_id", "left").withColumn("_left", F.coalesce("_left", "text"))
-    return _with_text(both.select(*others(docs), "_left"), "_left")
+    carry = [*others(docs, "doc_id", "text"), F.col("text").isNull().alias("_null")]
+    left = remove_repeats(docs, "doc_id", as_text=True, carry=carry)
+    columns = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carried._null"), F.col("kept"))}
+    left = left.select(*(columns.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns), columns["text"].alias("_left"))
+    return _with_text(left, "_left")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

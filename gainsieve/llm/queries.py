@@ -61,11 +61,15 @@ def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def toxicity_scores(spark, docs, sf_dir):
-    """``doc_id, score`` of ``docs`` by a model of the labels outside the held-out fold."""
+def toxicity_model(spark, sf_dir):
+    """A model of the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 4) != 2)
-    model = learn(table(spark, sf_dir, "documents"), labels)
-    return score_documents(docs, model, "doc_id")
+    return learn(table(spark, sf_dir, "documents"), labels)
+
+
+def toxicity_scores(spark, docs, sf_dir):
+    """``doc_id, score`` of ``docs`` by that model."""
+    return score_documents(docs, toxicity_model(spark, sf_dir), "doc_id")
 
 
 def op8_toxicity(spark, sf_dir):

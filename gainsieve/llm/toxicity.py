@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Windows whose savings a worker holds; it starts over when it has that many.
 CACHED_WINDOWS = 200_000
@@ -197,3 +198,14 @@ def score_documents(df: DataFrame, model: CompressionModel, key: str, text: str
 
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, score double").toDF(key, "score")
+
+
+def with_scores(df: DataFrame, model: CompressionModel, text: str = "text", score: str = "score") -> DataFrame:
+    """The rows of ``df`` with their score as a further column, so that nothing is joined by a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score, DoubleType())]))

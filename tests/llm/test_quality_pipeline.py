@@ -1,7 +1,9 @@
 """Quality rules against plain Python, and the stages of the pipeline."""
 
 import re
+import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,38 @@ def test_stages(spark, sf_dir, frame):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(prints)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_stages_with_null_and_repeated_ids(spark, sf_dir, monkeypatch):
+    """Every row is judged by its own text, whatever its id; ``source`` tells the rows apart."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.col("doc_id").cast("string"))
+    verdict = lambda text: zlib.crc32((text or "").encode()) % 2
+    monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda spark, sf_dir: SimpleNamespace(score=lambda text: float(verdict(text))))
+    docs = docs.where("doc_id % 3 < 2").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 6))
+    docs = corpus_pipeline.materialise(docs.unionByName(docs.where("length(source) = 2")))
+    rows = docs.collect()
+    sources = lambda rows: Counter(r["source"] for r in rows)
+    assert {r["doc_id"] for r in rows} == {None, 0, 4} and max(sources(rows).values()) == 2
+    cleaned = stages["quality_rules"](spark, docs, sf_dir).collect()
+    assert sources(cleaned) == sources(clean_documents(docs).where("kept").collect())
+    mild = stages["toxicity"](spark, docs, sf_dir).collect()
+    assert sources(mild) == sources(r for r in rows if not verdict(r["text"]))
+    assert 0 < len(mild) < len(rows)
+    prints = {r["source"]: plain_fingerprint(r["text"]) for r in rows}
+    label = plain_components(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    first = {}
+    for r in rows:
+        order = (r["doc_id"] is None, r["doc_id"] or 0)
+        first[label[r["source"]]] = min(order, first.get(label[r["source"]], order))
+    unlike = stages["simhash_near_dedup"](spark, docs, sf_dir).collect()
+    assert Counter((label[r["source"]], r["doc_id"] is None, r["doc_id"] or 0) for r in unlike) == Counter((k, *v) for k, v in first.items())
+    left = stages["suffix_dedup"](spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    expected = Counter()
+    for (k, _, _, _, kept), n in plain([(r["doc_id"], r["text"]) for r in rows], 100).items():
+        expected[k, kept.decode("utf-8", "ignore")] += n
+    left = left.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == expected and sources(left) == sources(rows)
+    packed = stages["best_fit_packing"](spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == len(rows)
