@@ -47,3 +47,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS D
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+runs AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+found AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM found),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN total USING (lang)
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(s[1 : k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(s[k + 1 :], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+starts AS (SELECT lang, a, s, m, unnest(range(1, m)) AS i FROM found WHERE m > 2),
+inner_runs AS (SELECT lang, a, array_to_string(s[i : j], ' ') AS phrase
+    FROM (SELECT *, unnest(range(i + 1, m + 1)) AS j FROM starts) WHERE j - i + 1 < m),
+covered AS (SELECT DISTINCT lowest.lang, lowest.phrase FROM lowest JOIN inner_runs b ON b.lang = lowest.lang AND b.phrase = lowest.phrase WHERE 100 * b.a >= 100 * lowest.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest ANTI JOIN covered USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gainsieve.llm import kneser_ney, oracles
 from gainsieve.llm.bpe import round_trip
+from gainsieve.llm.collocations import collocations
 from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
 from gainsieve.llm.quality import MEASURES, clean_documents
@@ -91,6 +92,11 @@ def op10_language_model(spark, sf_dir):
     return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model]}
+def op13_collocations(spark, sf_dir):
+    """The 2,000 best collocations of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op1_quality": oracles.QUALITY, "op4_exact_top_k": oracles.TOP_K}
+
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model, op13_collocations]}
+
+ORACLES = {"op1_quality": oracles.QUALITY, "op4_exact_top_k": oracles.TOP_K, "op13_collocations": oracles.COLLOCATIONS}
