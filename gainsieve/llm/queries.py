@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gainsieve.llm import kneser_ney, oracles
@@ -9,6 +12,7 @@ from gainsieve.llm.bpe import round_trip
 from gainsieve.llm.collocations import collocations
 from gainsieve.llm.common import fold_of, table
 from gainsieve.llm.packing import pack_documents
+from gainsieve.llm.periodic import periodic_runs
 from gainsieve.llm.quality import MEASURES, clean_documents
 from gainsieve.llm.resharding import reshard
 from gainsieve.llm.simhash import near_duplicates
@@ -92,11 +96,34 @@ def op10_language_model(spark, sf_dir):
     return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def looped(doc_id, n):
+    """The order of the words of every tenth document or so: from word a on, the next p words over and over."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.append(np.arange(a), a + np.arange(n - a) % p)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    """All periodic runs of all documents, some of which are looped first, as digests."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), "doc_id", order=looped)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    told = found.select("doc_id", "runs", "collapsed", best.alias("best")).select("*", (-F.col("best.col2")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.col3")).alias("period"))
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("(1000 * length) div period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_collocations(spark, sf_dir):
     """The 2,000 best collocations of every language."""
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model, op13_collocations]}
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model, op12_periodic_runs, op13_collocations]}
 
 ORACLES = {"op1_quality": oracles.QUALITY, "op4_exact_top_k": oracles.TOP_K, "op13_collocations": oracles.COLLOCATIONS}

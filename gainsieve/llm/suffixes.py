@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from gainsieve.llm.packed import bucket_of, pack, runs_of, unpack
-from gainsieve.llm.words import mixed
+from gainsieve.llm.words import least_over, mixed
 from gainsieve.session import materialise
 
 _U64 = np.uint64
@@ -61,16 +61,6 @@ class _Substrings:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
-def _least_over(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of every ``width`` neighbours, by doubling."""
-    done, out = 1, x
-    while 2 * done <= width:
-        out = np.minimum(out[:-done], out[done:])
-        done *= 2
-    rest = width - done
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
-
-
 def window_runs(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, digit: int = DIGIT) -> tuple[np.ndarray, ...]:
     """``digit hash, run hash, start, number of windows`` of the runs of windows in texts laid end to end.
 
@@ -82,7 +72,7 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, digi
     found = _Substrings(data, _FIRST)
     digits = found.hashes(slice(0, len(data) - digit + 1), slice(digit, len(data) + 1))
     ranked = (digits & _U64(~_PLACE & (1 << 64) - 1)) | np.arange(len(digits), dtype=_U64)
-    place = (_least_over(ranked, window - digit + 1) & _U64(_PLACE)).astype(np.int64)
+    place = (least_over(ranked, window - digit + 1) & _U64(_PLACE)).astype(np.int64)
     valid = np.zeros(len(place) + 1, np.int8)
     lows, highs = bounds[:-1], bounds[1:] - window + 1
     whole = highs > lows

@@ -19,6 +19,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
+def least_over(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of every ``width`` neighbours, by doubling."""
+    done, out = 1, x
+    while 2 * done <= width:
+        out = np.minimum(out[:-done], out[done:])
+        done *= 2
+    rest = width - done
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])

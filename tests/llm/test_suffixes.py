@@ -61,7 +61,7 @@ def test_documents(spark, frame, documents):
 def test_least_over():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for width in range(1, 20):
-        assert suffixes._least_over(x, width).tolist() == [min(x[i : i + width]) for i in range(50 - width + 1)]
+        assert suffixes.least_over(x, width).tolist() == [min(x[i : i + width]) for i in range(50 - width + 1)]
 
 
 @pytest.mark.parametrize("key", [None, 7])
