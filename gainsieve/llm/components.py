@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
 from gainsieve.session import materialise
@@ -33,3 +35,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         current = materialise(small)
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links from every member of a group to its least; the same groups as ``links`` make."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in parent if root(x) != x]

@@ -73,3 +73,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked WHERE rank <= 2000
 """
+
+VECTOR_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+able AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id
+"""

@@ -20,6 +20,7 @@ from gainsieve.llm.suffixes import remove_repeats
 from gainsieve.llm.token_counts import token_counts
 from gainsieve.llm.topk import top_k
 from gainsieve.llm.toxicity import learn, score_documents
+from gainsieve.llm.vector_links import near_vectors
 
 TOXIC_FROM = 0.3
 SHARDS = 8
@@ -96,6 +97,11 @@ def op10_language_model(spark, sf_dir):
     return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_vector_links(spark, sf_dir):
+    """Near-duplicate components of all vectors at a cosine of 0.95."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def looped(doc_id, n):
     """The order of the words of every tenth document or so: from word a on, the next p words over and over."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -124,6 +130,6 @@ def op13_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model, op12_periodic_runs, op13_collocations]}
+QUERIES = {f.__name__: f for f in [op1_quality, op2_packing, op3_resharding, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_simhash, op8_toxicity, op9_byte_bpe, op10_language_model, op11_vector_links, op12_periodic_runs, op13_collocations]}
 
-ORACLES = {"op1_quality": oracles.QUALITY, "op4_exact_top_k": oracles.TOP_K, "op13_collocations": oracles.COLLOCATIONS}
+ORACLES = {"op1_quality": oracles.QUALITY, "op4_exact_top_k": oracles.TOP_K, "op11_vector_links": oracles.VECTOR_LINKS, "op13_collocations": oracles.COLLOCATIONS}

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gainsieve.llm.components import connected_components
+from gainsieve.llm.components import connected_components, stars
 from gainsieve.session import materialise
 
 BITS = 64
@@ -79,24 +79,6 @@ class BKTree:
         return found
 
 
-def _stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links from every member of a group to its least; the same groups as ``links`` make."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(x, root(x)) for x in parent if root(x) != x]
-
-
 def shard_links(first: list[int], second: list[int] | None, radius: int) -> list[tuple[int, int]]:
     """Links that join what lies within ``radius``: inside ``first``, or between it and ``second``."""
     tree = BKTree()
@@ -107,7 +89,7 @@ def shard_links(first: list[int], second: list[int] | None, radius: int) -> list
         tree.add(value)
     for value in second or ():
         links += [(value, other) for other in tree.near(value, radius)]
-    return _stars(links)
+    return stars(links)
 
 
 def fingerprints(df: DataFrame, key: str, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
