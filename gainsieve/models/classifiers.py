@@ -8,11 +8,8 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
@@ -20,7 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from gainsieve.functions.vectors import vector_width
 from gainsieve.models import naive_bayes, neighbours
 from gainsieve.models.boosting import BINS, boosted_prediction, fit_boosted_folds
+from gainsieve.models.gradient import gradient_boosting
 from gainsieve.models.kernels import LANDMARKS, fit_kernel_svm
+from gainsieve.models.trees import decision_tree, random_forest
 from gainsieve.operators.folds import FoldedTable
 
 SEED = 42
@@ -63,29 +62,6 @@ def from_estimator(make: Callable[[DataFrame, FoldedTable], object]) -> FoldPred
 COLUMNS = {"featuresCol": "vector", "labelCol": "label_index"}
 
 
-# The deepest trees that Spark grows.
-MOST_DEPTH = 30
-
-
-def random_forest(trees: int = 100, depth: int = MOST_DEPTH, bins: int = 32) -> FoldPredictor:
-    return from_estimator(
-        lambda training, table: RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=bins, seed=SEED, **COLUMNS)
-    )
-
-
-def decision_tree(depth: int = MOST_DEPTH, bins: int = 32) -> FoldPredictor:
-    return from_estimator(
-        lambda training, table: DecisionTreeClassifier(maxDepth=depth, maxBins=bins, seed=SEED, **COLUMNS)
-    )
-
-
-def gradient_boosting(rounds: int = 100, depth: int = 3) -> FoldPredictor:
-    """Two classes only."""
-    return from_estimator(
-        lambda training, table: GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED, **COLUMNS)
-    )
-
-
 def perceptron(hidden: tuple[int, ...] = (100, 50), iterations: int = 300) -> FoldPredictor:
     def make(training: DataFrame, table: FoldedTable) -> MultilayerPerceptronClassifier:
         layers = [vector_width(training), *hidden, len(table.classes)]

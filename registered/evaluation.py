@@ -7,13 +7,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsieve.models import naive_bayes, neighbours
+from gainsieve.models import gradient, naive_bayes, neighbours
 from gainsieve.models import classifiers as C
 from gainsieve.operators.folds import FoldedTable, folded_table
 from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
 from gainsieve.session import materialise
 from registered.ranking import folds_sql
-from registered.tables import QUANTISED, SIDE_SQL, gain_sql, quantised, rounded, vectors
+from registered.tables import QUANTISED, SIDE_SQL, THIRD_SQL, gain_sql, quantised, rounded, third, vectors
 
 def _folds(spark: SparkSession, sf_dir: str, hold_out: bool = False) -> FoldedTable:
     """The folded vectors, written out once for the many passes of a fit."""
@@ -21,6 +21,11 @@ def _folds(spark: SparkSession, sf_dir: str, hold_out: bool = False) -> FoldedTa
     return replace(placed, df=materialise(placed.df))
 
 
+def _three_classes(spark: SparkSession, sf_dir: str) -> FoldedTable:
+    placed = folded_table(vectors(spark, sf_dir, third), "vec_id")
+    return replace(placed, df=materialise(placed.df))
+
+
 def _predictions(predicted: DataFrame) -> DataFrame:
     return predicted.select(F.col("row_key").alias("vec_id"), "fold", F.col("label_index").alias("label"), F.col("prediction").cast("int"))
 
@@ -33,6 +38,10 @@ def q_knn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(neighbours.predict_folds(_folds(spark, sf_dir)))
 
 
+def q_decision_tree_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(C.decision_tree()(_folds(spark, sf_dir)))
+
+
 def _accuracies(predict: C.FoldPredictor) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(C.fold_accuracies(predict(_folds(spark, sf_dir))), "accuracy")
@@ -40,6 +49,36 @@ def _accuracies(predict: C.FoldPredictor) -> Callable[[SparkSession, str], DataF
     return query
 
 
+def q_gradient_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the first tree of every fold and class, three classes: their place in the tree and their value."""
+    folded = _three_classes(spark, sf_dir)
+    out = []
+    for fold, model in zip(folded.tested, gradient.fit_folds(folded, rounds=1), strict=True):
+        for cls, tree in enumerate(model.rounds[0]):
+            waiting = [(0, 1)]
+            while waiting:
+                node, place = waiting.pop()
+                if tree.feature[node] < 0:
+                    out.append((fold, cls, place, float(tree.value[node][0])))
+                else:
+                    waiting += [(tree.left[node], 2 * place), (tree.right[node], 2 * place + 1)]
+    return rounded(spark.createDataFrame(out, "fold int, cls int, leaf long, value double"), "value")
+
+
+def q_gradient_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees with three classes beat the commonest."""
+    return _above_majority(gradient.gradient_boosting()(_three_classes(spark, sf_dir)))
+
+
+def _above_majority(predicted: DataFrame) -> DataFrame:
+    """Fold sizes, the share of the fold's commonest label, and whether the accuracy is above it."""
+    hit = F.avg((F.col("prediction") == F.col("label_index")).cast("int"))
+    sizes = predicted.groupBy("fold", "label_index").agg(F.count("*").alias("n")).groupBy("fold").agg(F.sum("n").alias("n_rows"), F.max("n").alias("most"))
+    per_fold = predicted.groupBy("fold").agg(F.countDistinct("row_key").alias("n_keys"), hit.alias("accuracy")).join(sizes, "fold")
+    share = F.col("most") / F.col("n_rows")
+    return rounded(per_fold.select("fold", "n_rows", "n_keys", share.alias("majority"), (F.col("accuracy") > share).alias("beats_majority")), "majority")
+
+
 def _beats_majority(predict: C.FoldPredictor) -> Callable[[SparkSession, str], DataFrame]:
     """Fold sizes, the share of the fold's commonest label, and whether the accuracy is above it.
 
@@ -48,17 +87,7 @@ def _beats_majority(predict: C.FoldPredictor) -> Callable[[SparkSession, str], D
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        predicted = predict(_folds(spark, sf_dir))
-        hit = (F.col("prediction") == F.col("label_index")).cast("int")
-        ones = F.avg(F.col("label_index").cast("double"))
-        per_fold = predicted.groupBy("fold").agg(
-            F.count("*").alias("n_rows"),
-            F.countDistinct("row_key").alias("n_keys"),
-            F.greatest(ones, 1 - ones).alias("majority"),
-            F.avg(hit).alias("accuracy"),
-        )
-        above = (F.col("accuracy") > F.col("majority")).alias("beats_majority")
-        return rounded(per_fold.select("fold", "n_rows", "n_keys", "majority", above), "majority")
+        return _above_majority(predict(_folds(spark, sf_dir)))
 
     return query
 
@@ -105,8 +134,11 @@ QUERIES = {
     "knn_predictions": q_knn_predictions,
     "knn_cv": _accuracies(neighbours.predict_folds),
     "random_forest_cv": _beats_majority(C.random_forest()),
-    "decision_tree_cv": _beats_majority(C.decision_tree()),
+    "decision_tree_predictions": q_decision_tree_predictions,
+    "decision_tree_cv": _accuracies(C.decision_tree()),
     "gradient_boosting_cv": _beats_majority(C.gradient_boosting()),
+    "gradient_boosting_three_classes": q_gradient_three_classes,
+    "gradient_boosting_first_round": q_gradient_first_round,
     "ada_boost_cv": _beats_majority(C.ada_boost()),
     "mlp_cv": _beats_majority(C.perceptron()),
     "logistic_regression_cv": _beats_majority(C.logistic_regression()),
@@ -158,6 +190,52 @@ KNN = f"""
 BY_FOLD = "SELECT fold, count(*) AS n_rows, round(avg(CAST(label = prediction AS INTEGER)), 6) + 0.0 AS accuracy FROM predicted GROUP BY fold"
 SUMMARY = f"SELECT round(avg(a), 6) + 0.0 AS accuracy, round(stddev_pop(a), 6) + 0.0 AS std FROM (SELECT avg(CAST(label = prediction AS INTEGER)) AS a FROM predicted GROUP BY fold)"
 
+
+#: A level of all trees is a step of the recursion; a row's leaf is the node it reaches last.
+TREE = f"""
+    WITH RECURSIVE {FOLDED},
+    r AS (
+        SELECT f, vec_id, fold <> f AS train, 0 AS level, CAST(1 AS HUGEINT) AS node, y, v FROM placed, (SELECT unnest(range(5)) AS f)
+        UNION ALL
+        SELECT r.f, r.vec_id, r.train, r.level + 1, r.node * 2 + CAST(r.v[best.pos] > best.threshold AS INTEGER), r.y, r.v
+        FROM r JOIN (
+            SELECT f, node, pos, CASE WHEN x / 2 + following / 2 >= following THEN x ELSE x / 2 + following / 2 END AS threshold,
+                   row_number() OVER (PARTITION BY f, node ORDER BY CAST((a - s) * (a - s) + s * s AS DOUBLE) / a
+                       + CAST((n - a - ones + s) * (n - a - ones + s) + (ones - s) * (ones - s) AS DOUBLE) / (n - a) DESC, pos, x) AS place
+            FROM (SELECT *, lead(x) OVER w AS following, sum(c) OVER w AS a, sum(c1) OVER w AS s,
+                         sum(c) OVER (PARTITION BY f, node, pos) AS n, sum(c1) OVER (PARTITION BY f, node, pos) AS ones
+                  FROM (SELECT f, node, u.pos, v[u.pos] AS x, count(*) AS c, sum(y) AS c1
+                        FROM r, (SELECT unnest(range(1, 65)) AS pos) u WHERE train GROUP BY ALL)
+                  WINDOW w AS (PARTITION BY f, node, pos ORDER BY x ROWS UNBOUNDED PRECEDING))
+            WHERE following IS NOT NULL AND ones > 0 AND ones < n
+        ) best ON best.f = r.f AND best.node = r.node AND best.place = 1),
+    shares AS (SELECT f, node, avg(y) AS share FROM r WHERE train GROUP BY f, node),
+    leaf AS (SELECT f, vec_id, y, arg_max(node, level) AS node FROM r WHERE NOT train GROUP BY f, vec_id, y),
+    predicted AS (SELECT vec_id, CAST(f AS INTEGER) AS fold, y AS label, CAST(share > 0.5 AS INTEGER) AS prediction FROM leaf JOIN shares USING (f, node))
+"""
+SOURCE3 = SOURCE.replace(SIDE_SQL, THIRD_SQL)
+FOLDED3 = FOLDED.replace(SOURCE, SOURCE3)
+#: The first tree of every fold and class: three levels over the residuals of the shares.
+FIRST_ROUND = f"""
+    WITH RECURSIVE {FOLDED3},
+    prior AS (SELECT f, c, avg(CAST(y = c AS INTEGER)) AS p FROM placed, (SELECT unnest(range(5)) AS f), (SELECT unnest(range(3)) AS c) WHERE fold <> f GROUP BY f, c),
+    r AS (
+        SELECT f, c, vec_id, 0 AS level, CAST(1 AS BIGINT) AS node, CAST(y = c AS INTEGER) - p AS g, p * (1 - p) AS h, v FROM placed JOIN prior ON fold <> f
+        UNION ALL
+        SELECT r.f, r.c, r.vec_id, r.level + 1, r.node * 2 + CAST(r.v[best.pos] > best.threshold AS INTEGER), r.g, r.h, r.v
+        FROM r JOIN (
+            SELECT f, c, node, pos, CASE WHEN x / 2 + following / 2 >= following THEN x ELSE x / 2 + following / 2 END AS threshold,
+                   row_number() OVER (PARTITION BY f, c, node ORDER BY round(s * s / a + (whole - s) * (whole - s) / (n - a), 9) DESC, pos, x) AS place
+            FROM (SELECT *, lead(x) OVER w AS following, sum(k) OVER w AS a, sum(g) OVER w AS s, sum(k) OVER all_of AS n, sum(g) OVER all_of AS whole,
+                         min(low) OVER all_of AS least, max(high) OVER all_of AS most
+                  FROM (SELECT f, c, node, u.pos, v[u.pos] AS x, count(*) AS k, sum(g) AS g, min(g) AS low, max(g) AS high
+                        FROM r, (SELECT unnest(range(1, 65)) AS pos) u WHERE level < 3 GROUP BY ALL)
+                  WINDOW w AS (PARTITION BY f, c, node, pos ORDER BY x ROWS UNBOUNDED PRECEDING), all_of AS (PARTITION BY f, c, node, pos))
+            WHERE following IS NOT NULL AND least < most
+        ) best ON best.f = r.f AND best.c = r.c AND best.node = r.node AND best.place = 1),
+    ends AS (SELECT f, c, vec_id, g, h, max(node) AS node FROM r GROUP BY ALL)
+    SELECT CAST(f AS INTEGER) AS fold, CAST(c AS INTEGER) AS cls, node AS leaf, round(0.1 * 2 / 3 * sum(g) / sum(h), 6) + 0.0 AS value FROM ends GROUP BY f, c, node
+"""
 KNN_STEPS = KNN.split(FOLDED, 1)[1]
 SIDE_CELLS = f"""
     SELECT u.pos - 1 AS feature_id, printf('feature_%04d', u.pos - 1) AS feature, ({QUANTISED})[u.pos] AS value, {SIDE_SQL} AS cls
@@ -194,7 +272,13 @@ MAJORITY = f"""
            round(greatest(avg(y), 1 - avg(y)), 6) + 0.0 AS majority, TRUE AS beats_majority
     FROM placed GROUP BY fold
 """
-MODELS = ["random_forest", "decision_tree", "gradient_boosting", "ada_boost", "mlp", "logistic_regression", "svm_rbf", "svm_poly"]
+MAJORITY3 = f"""
+    WITH {FOLDED3}, sizes AS (SELECT fold, y, count(*) AS n FROM placed GROUP BY fold, y)
+    SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_keys,
+           round(max(n) / sum(n), 6) + 0.0 AS majority, TRUE AS beats_majority
+    FROM sizes GROUP BY fold
+"""
+MODELS = ["random_forest", "gradient_boosting", "ada_boost", "mlp", "logistic_regression", "svm_rbf", "svm_poly"]
 
 ORACLES = {
     "rank_select_evaluate": f"""
@@ -211,4 +295,8 @@ ORACLES = {
     "holdout_accuracy": f"{_nb_sql(HELD_OUT, '[1]')} {SUMMARY}",
     "knn_predictions": f"{KNN} SELECT * FROM predicted",
     "knn_cv": f"{KNN} {BY_FOLD}",
+    "gradient_boosting_three_classes": MAJORITY3,
+    "gradient_boosting_first_round": FIRST_ROUND,
+    "decision_tree_predictions": f"{TREE} SELECT * FROM predicted",
+    "decision_tree_cv": f"{TREE} {BY_FOLD}",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +11,7 @@ NUMBER_FEATURES = TEXT_FEATURES[1:]
 CLASS = "l_returnflag"
 
 QUANTISED = "list_transform(embedding, lambda x: CAST(floor(x * 8) AS INTEGER))"
+THIRD_SQL = "CAST(CAST(embedding[1] AS DOUBLE) + embedding[2] - embedding[3] > 0 AS INTEGER) + CAST(CAST(embedding[1] AS DOUBLE) - embedding[2] + embedding[4] > 0 AS INTEGER)"
 SIDE_SQL = "CAST(CAST(embedding[1] AS DOUBLE) + embedding[2] - embedding[3] > 0 AS INTEGER)"
 
 
@@ -28,10 +29,16 @@ def side(vector: Column) -> Column:
     return (v[0] + v[1] - v[2] > 0).cast("int")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, features, label`` with the two-class label."""
+def third(vector: Column) -> Column:
+    """A three-class label that the vector determines."""
+    v = vector.cast("array<double>")
+    return (v[0] + v[1] - v[2] > 0).cast("int") + (v[0] - v[1] + v[3] > 0).cast("int")
+
+
+def vectors(spark: SparkSession, sf_dir: str, label: Callable[[Column], Column] = side) -> DataFrame:
+    """``vec_id, features, label`` with a label that the vector determines, of two classes unless another is given."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("features"), side(F.col("embedding")).alias("label"))
+    return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("features"), label(F.col("embedding")).alias("label"))
 
 
 def quantised(spark: SparkSession, sf_dir: str, two_classes: bool = False) -> DataFrame:

@@ -167,7 +167,7 @@ def test_boosted_vote_ties_go_to_the_lower_class(spark):
 
 
 QUICK = {
-    "Random Forest": C.random_forest(trees=10, depth=5),
+    "Random Forest": C.random_forest(trees=10),
     "Decision Tree": C.decision_tree(),
     "Gradient Boosting": C.gradient_boosting(rounds=5),
     "AdaBoost": C.ada_boost(rounds=5),
