@@ -87,7 +87,11 @@ def encode_table(df: DataFrame, key: str, text: str = "text", ranks: str = RANKS
 
 
 def round_trip(df: DataFrame, key: str, text: str = "text", ranks: str = RANKS) -> DataFrame:
-    """Digests of the ids and of the decoded bytes: ``key, n_tokens, ids_sha256, decoded_sha256``."""
+    """Digests of the ids and of the decoded bytes: ``key, n_tokens, ids_sha256, decoded_sha256``.
+
+    A null or empty text has no ids. Keys may be null, repeated rows each come back, other columns play no
+    part, an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal = [str(i) for i in range(len(token_bytes(ranks)))]

@@ -140,5 +140,13 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS, added: str | None = ADDED) -> DataFrame:
-    """Pieces of all documents with their places. Repeated rows are packed as often as they occur."""
-    return pack(materialise(token_pieces(df, key, text, capacity, ranks, added=added)), key, capacity)
+    """Pieces of all documents with their places: ``key``, the columns of a piece, ``sequence_id, offset``.
+
+    A null or empty text is one token. Keys may be null or have any name that is not one of those columns;
+    repeated rows are packed as often as they occur. An empty table packs to none.
+    """
+    own = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    packed = pack(materialise(token_pieces(own, "_key", "_text", capacity, ranks, added=added)), "_key", capacity)
+    if key in packed.columns:
+        raise ValueError(f"the key has the name of a column of the result: {key}")
+    return packed.withColumnRenamed("_key", key)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gainsieve.llm.common import running_starts
+from gainsieve.llm.common import others, running_starts
 from gainsieve.session import materialise
 
 #: Rows of an old shard are ordered in this many buckets at most, and about so many rows each.
@@ -71,22 +71,25 @@ def reshard(df: DataFrame, key: str, size: Column, old: Column, n_old: int, n_ne
     """``key, size, old_shard, shard, slot`` and the ``carried`` columns for every row.
 
     ``old`` names the present shard, 0 to ``n_old`` - 1; new shards get equal bytes, up to
-    half a row at each cut. Slots count from 0 in each shard without a gap. Repeated rows
-    each get a place; an empty table gives none.
+    half a row at each cut. Slots count from 0 in each shard without a gap. A row whose old shard is
+    null or none of these is in no shard yet: it has a null ``old_shard`` and is moved to where there
+    is room. Keys may be null, repeated rows each get a place; an empty table gives none.
 
     The driver sees sums per old shard. Rows are ordered in buckets of an old shard, which
     also splits a shard that holds most rows, and the plan has a row for each transfer.
     """
     names = {f"c{i}": c for i, c in enumerate((carried or {}).values())}
-    rows = df.select(F.col(f"`{key}`").alias("k"), size.cast("long").alias("size"), old.cast("int").alias("old"), *(c.alias(n) for n, c in names.items()))
+    known = F.coalesce(old.cast("int").between(0, n_old - 1), F.lit(False))
+    rows = df.select(F.col(f"`{key}`").alias("k"), size.cast("long").alias("size"), F.when(known, old.cast("int")).otherwise(n_old).alias("old"), *(c.alias(n) for n, c in names.items()))
     rows = materialise(rows)
     sums = {r["old"]: (r["s"], r["n"]) for r in rows.groupBy("old").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
-    supply = [sums.get(i, (0, 0))[0] for i in range(n_old)]
-    flow = minimum_cost_flow(supply, equal_capacities(sum(supply), n_new), cost)
+    supply = [sums.get(i, (0, 0))[0] for i in range(n_old + 1)]
+    price = lambda i, j: cost(i, j) if i < n_old else 1
+    flow = minimum_cost_flow(supply, equal_capacities(sum(supply), n_new), price)
     cuts = []
     for i, sent in enumerate(flow):
         at = 0
-        for j in sorted(range(n_new), key=lambda j: (cost(i, j), j)):
+        for j in sorted(range(n_new), key=lambda j: (price(i, j), j)):
             if sent[j]:
                 cuts.append((i, 2 * at, 2 * (at + sent[j]), j))
                 at += sent[j]
@@ -105,19 +108,20 @@ def reshard(df: DataFrame, key: str, size: Column, old: Column, n_old: int, n_ne
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     placed = placed.withColumn("inside", rank).join(starts, group)
     slot = (F.col("first") + F.col("inside") - 1).cast("long").alias("slot")
-    return placed.select(F.col("k").alias(key), "size", *(F.col(n).alias(c) for n, c in zip(names, carried or {}, strict=True)), F.col("old").alias("old_shard"), "shard", slot)
+    return placed.select(F.col("k").alias(key), "size", *(F.col(n).alias(c) for n, c in zip(names, carried or {}, strict=True)), F.when(F.col("old") < n_old, F.col("old")).alias("old_shard"), "shard", slot)
 
 
 def rewrite(df: DataFrame, placed: DataFrame, key: str, path: str) -> list[int]:
     """Writes the shards that lose or gain rows below ``path`` as ``shard=N`` and returns their numbers.
 
-    Shards that are not returned hold what they held; their files stay as they are. ``key``
-    must be unique.
+    Rows are written with all their columns and ``slot``; columns of ``df`` named ``shard`` or ``slot`` are
+    replaced. Shards that are not returned hold what they held; their files stay as they are.
+    ``key`` must be unique, one null included; a row without an old shard touches its new one.
     """
-    placed = materialise(placed.select(F.col(f"`{key}`").alias("_key"), "old_shard", F.col("shard").alias("_shard"), "slot"))
-    moved = placed.where("old_shard <> _shard")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "_shard"))).distinct().collect()})
-    rows = df.join(placed.where(F.col("_shard").isin(touched)), df[f"`{key}`"] == F.col("_key"))
-    rows = rows.drop("shard").withColumnRenamed("_shard", "shard").drop("_key", "old_shard")
+    placed = materialise(placed.select(F.col(f"`{key}`").alias("_to_key"), F.col("old_shard").alias("_from"), F.col("shard").alias("_to"), F.col("slot").alias("_to_slot")))
+    moved = placed.where("NOT (_from <=> _to)")
+    touched = sorted({r[0] for r in moved.select(F.explode(F.array("_from", "_to"))).distinct().collect()} - {None})  # at most all shards
+    rows = df.join(placed.where(F.col("_to").isin(touched)), df[f"`{key}`"].eqNullSafe(F.col("_to_key")))
+    rows = rows.select(*others(df, "shard", "slot"), F.col("_to").alias("shard"), F.col("_to_slot").alias("slot"))
     rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.partitionBy("shard").parquet(path)
-    return [t for t in touched]
+    return touched

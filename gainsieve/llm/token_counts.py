@@ -87,7 +87,8 @@ def token_counts(df: DataFrame, key: str, text: str = "text", ranks: str = RANKS
     """``key, n_words, n_tokens, longest_word_tokens`` for every row.
 
     Words are runs of anything but ASCII white space; the pieces of a word are those of the
-    word behind a blank. A null, empty or blank text has 0 of each. Repeated rows stay.
+    word behind a blank. A null, empty or blank text has 0 of each. Keys may be null, repeated rows
+    stay, other columns play no part, an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,13 +72,37 @@ def test_top_k(spark, block, monkeypatch):
     dice = np.random.default_rng(block)
     vectors = [(i, dice.normal(size=6).round(1).tolist()) for i in range(150)]
     vectors += [(200 + i, vectors[3][1]) for i in range(30)] + [vectors[0]] + [(300, [1.0, 2.0]), (350, [2.0, 2.0]), (400, [5.0, 1.0])]
-    odd = [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 6), (504, [float("inf")] * 6), (505, [1e300] * 6), (None, [1.0] * 6)]
+    odd = [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 6), (504, [float("inf")] * 6), (None, [1.0] * 6)]
+    vectors += [(450, [3e6] + [1.0] * 5), (451, [-2e6, 5e6] + [0.1] * 4), (50, vectors[9][1]), vectors[50]]
     df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("id", F.lit("x"))
     got = topk.top_k(df, "vec_id", "embedding", F.col("id") % 50 == 0).collect()
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors}
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors]
     expected = []
-    for q in (i for i in whole if i % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
-        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    for at, (q, mine) in enumerate(whole):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(mine, v)), i) for j, (i, v) in enumerate(whole) if j != at and len(v) == len(mine))
+            expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
     assert sorted(tuple(r) for r in got) == sorted(expected)
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("id") % 50 == 0).count() == 0
+
+
+def test_top_k_beyond_the_range(spark):
+    df = lambda x: spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<double>")
+    for x in (1e300, 1e16):  # no whole number of 64 bits; a score beyond 64 bits
+        with pytest.raises(Exception, match="62 bits|64 bits"):
+            topk.top_k(df(x), "vec_id", "embedding", F.col("id") == 0).collect()
+    assert topk.top_k(df(5e6), "vec_id", "embedding", F.col("id") == 0).first()["score"] == (256 * 5_000_000) ** 2 + 256 * 512
+
+
+def test_rows_without_an_old_shard(spark, tmp_path):
+    rows = [(i, i if i < 6 else None if i < 10 else 77, "x") for i in range(20)] + [(None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, home int, old_shard string").withColumn("slot", F.lit("mine"))
+    placed = reshard(df, "doc_id", F.lit(1), F.col("home"), 4, 3)
+    got = placed.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((k is None, k) for k, _, _ in rows)
+    assert all(r["old_shard"] == (h if h is not None and 0 <= h < 4 else None) for r in got for k, h, _ in rows if k == r["doc_id"])
+    assert sorted(sum(r["shard"] == s for r in got) for s in range(3)) == [7, 7, 7]
+    touched = rewrite(df, placed, "doc_id", str(tmp_path / "new"))
+    written = spark.read.parquet(str(tmp_path / "new"))
+    assert touched == [0, 1, 2] and written.count() == 21 and set(written.columns) == {"doc_id", "home", "old_shard", "slot", "shard"}
+    assert {r[0] for r in written.select("old_shard").collect()} == {"x"}

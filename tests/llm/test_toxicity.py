@@ -4,9 +4,11 @@ import pickle
 import random
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from gainsieve.llm.toxicity import CompressionModel, learn, score_documents, train
+from gainsieve.llm import toxicity as T
+from gainsieve.llm.toxicity import CompressionModel, learn, score_documents, train, with_scores
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +33,47 @@ def test_held_out(rows):
     assert all(0 <= model.score(t) <= 1 for t in (None, "", " ", "x", "\U0001f600" * 9))
 
 
+def test_order_of_rows_plays_no_part(rows):
+    model = train(rows[:150])
+    assert len(model.toxic) > len(model.ordinary) and max(model.weights) > 1
+    for seed in range(5):
+        mixed = rows[:150]
+        random.Random(seed).shuffle(mixed)
+        again = train(mixed)
+        assert (again.ordinary, again.toxic, again.weights, again.line) == (model.ordinary, model.toxic, model.weights, model.line)
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_windows_measured_by_hand(rows, words):
+    """Kinds of windows from the lengths that zstandard gives under the two dictionaries."""
+    model = train(rows[:150], words)
+    text = rows[5][0] + " Grumbleby snorkwort's " + rows[6][0]
+    plain = zstandard.ZstdCompressionParameters.from_level(T.LEVEL, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    lengths = []
+    for content in (model.ordinary, model.toxic):
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        lengths.append(lambda data, own=own: len(zstandard.ZstdCompressor(dict_data=own, compression_params=plain).compress(data)))
+    each, expected = text.lower().split(), [0] * T.KINDS
+    for at in range(0, len(each), words):
+        bare = " ".join(each[at : at + words]).strip(T.EDGES)
+        data = b"".join(bytes((b, b ^ 0x5A, (b * 7 + 13) & 255, (b * 31 + 101) & 255)) for b in f" {bare} ".encode())
+        ordinary, toxic = (length(data) for length in lengths)
+        expected[min(max(ordinary - toxic, 0), T.MOST_SAVED) * T.LEFT_STEPS + min(toxic // T.LEFT_STEP, T.LEFT_STEPS - 1)] += 1
+    assert model.savings(text).tolist() == expected
+
+
+def test_nothing_learnt_is_told():
+    with pytest.warns(UserWarning, match="no window tells"):
+        train([("the same words", i % 2) for i in range(40)])
+
+
+def test_scores_replace_a_column(spark, frame, rows):
+    model = train(rows[:150])
+    scored = with_scores(frame.withColumn("SCORE", F.lit("x")).drop("score"), model)
+    assert scored.columns[-1] == "score" and [c.lower() for c in scored.columns].count("score") == 1
+    assert {(r["doc_id"], r["score"]) for r in scored.collect()} == {tuple(r) for r in score_documents(frame, model, "doc_id").collect()}
+
+
 def test_one_class():
     assert train([]).score("a b") == pytest.approx(0, abs=1e-6)
     assert train([("a", 1), (None, 1)]).score("a") > 0.99
