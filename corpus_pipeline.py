@@ -21,6 +21,14 @@ from gainsieve.llm.toxicity import with_scores
 from gainsieve.session import materialise
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with blanks behind it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _with_text(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with column ``text`` as the new text and its length in characters."""
     replaced = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
@@ -29,34 +37,41 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failed lines."""
-    judged = clean_documents(docs, clean_text="_clean").where("kept")
-    return _with_text(judged.select(*docs.columns, "_clean"), "_clean")
+    row, clean = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), "clean_text"
+    judged = clean_documents(docs.select(row.alias("docs"), "text"), clean_text=clean).where("kept")
+    new = _fresh(docs, "_new_text")
+    return _with_text(judged.select("docs.*", F.col(clean).alias(new)), new)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
-    return with_scores(docs, toxicity_model(spark, sf_dir), score="_score").where(F.col("_score") < TOXIC_FROM).drop("_score")
+    score = _fresh(docs, "_score")
+    return with_scores(docs, toxicity_model(spark, sf_dir), score=score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every near-duplicate component: that with the smallest id, a null id being the last choice.
 
-    Rows are told apart by a hash of all their columns; of rows equal in all of them one stays.
+    Shingles and bits are those of the operator's contract. Rows are told apart by 128 bits of hash of
+    all their columns; of rows equal in all of them one stays.
     """
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), row.alias("row"))
     found = near_duplicates(docs.select(key.alias("_key"), "text"), "_key")
-    kept = found.where("_key = component_id").select(F.col("_key.row").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(kept, "_row").dropDuplicates(["_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = found.where("_key = component_id").select(F.col("_key.row").alias("row")).distinct()
+    rows = docs.select(row.alias("row"), F.struct(*columns).alias("docs"))
+    return rows.join(kept, "row").dropDuplicates(["row"]).select("docs.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without passages that occur earlier; a character cut apart is dropped as well."""
-    carry = [*others(docs, "doc_id", "text"), F.col("text").isNull().alias("_null")]
+    null, new = _fresh(docs, "_null"), _fresh(docs, "_new_text")
+    carry = [*others(docs, "doc_id", "text"), F.col("text").isNull().alias(null)]
     left = remove_repeats(docs, "doc_id", as_text=True, carry=carry)
-    columns = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carried._null"), F.col("kept"))}
-    left = left.select(*(columns.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns), columns["text"].alias("_left"))
-    return _with_text(left, "_left")
+    columns = {"doc_id": F.col("doc_id"), "text": F.when(~F.col(f"carried.`{null}`"), F.col("kept"))}
+    left = left.select(*(columns.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns), columns["text"].alias(new))
+    return _with_text(left, new)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

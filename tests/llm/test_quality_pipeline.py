@@ -117,3 +117,16 @@ def test_stages_with_null_and_repeated_ids(spark, sf_dir, monkeypatch):
     assert Counter((r["doc_id"], r["text"]) for r in left) == expected and sources(left) == sources(rows)
     packed = stages["best_fit_packing"](spark, docs, sf_dir)
     assert packed.where("piece = 0").count() == len(rows)
+
+
+def test_stages_with_clashing_columns(spark, sf_dir):
+    """Names that the stages use inside are columns like any other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    names = ["_score", "_row", "row", "_key", "_null", "_new_text", "clean_text", "_clean", "kept", "docs", "k", "fp", "carried"]
+    wide = corpus_pipeline.materialise(docs.select("*", *(F.col("doc_id").cast("string").alias(n) for n in names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == str(r["doc_id"]) for r in rows for n in names), name
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stage(spark, docs, sf_dir).collect()), name
