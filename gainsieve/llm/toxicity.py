@@ -55,13 +55,36 @@ def _bytes(window: str) -> bytes:
     return b"".join(map(STRETCHED.__getitem__, b" " + window.strip(EDGES).encode() + b" "))
 
 
+def _run_starts(text: str | None) -> tuple[str, list[int]]:
+    """The words of ``text`` without punctuation around them, and where each begins."""
+    joined = " ".join(filter(None, (w.strip(EDGES) for w in (text or "").lower().split()))) + " "
+    return joined, [0, *(i + 1 for i, c in enumerate(joined[:-1]) if c == " ")]
+
+
 def runs(text: str | None) -> set[str]:
     """The runs of characters that begin the words of ``text``, without punctuation around the words."""
-    joined = " ".join(filter(None, (w.strip(EDGES) for w in (text or "").lower().split()))) + " "
-    starts = [0, *(i + 1 for i, c in enumerate(joined[:-1]) if c == " ")]
+    joined, starts = _run_starts(text)
     return {joined[i : i + n] for i in starts for n in RUN_LENGTHS if i + n <= len(joined)}
 
 
+def frequent_runs(texts: list[tuple[int, str]], fewest: int) -> list[Counter[str]]:
+    """For every turn, in how many of its texts each run is that ``fewest`` texts or more hold.
+
+    Length by length: where a run is rare, no longer one is looked at.
+    """
+    found: list[Counter[str]] = [Counter() for _ in range(TURNS)]
+    live = [(turn, *_run_starts(t)) for turn, t in texts]
+    for n in RUN_LENGTHS:
+        counts: list[Counter[str]] = [Counter() for _ in range(TURNS)]
+        for turn, joined, starts in live:
+            counts[turn].update({joined[i : i + n] for i in starts if i + n <= len(joined)})
+        total = sum(counts, Counter())
+        for own, part in zip(found, counts, strict=True):
+            own.update({r: c for r, c in part.items() if total[r] >= fewest})
+        live = [(turn, joined, [i for i in starts if total[joined[i : i + n]] >= fewest]) for turn, joined, starts in live]
+    return found
+
+
 class CompressionModel(dict):
     """Savings of windows under two dictionaries and what they mean; as a dict it caches them."""
 
@@ -155,15 +178,15 @@ def _in_turns(texts: list[str | None]) -> list[tuple[int, str]]:
 def _counted(turns: list[list[tuple[int, str]]], fewest: int) -> list[_Taught]:
     """Counts of every turn, then of all. Of near copies one counts, which would else tell a passage many times."""
     unlike = [list({_gist(t): (i, t) for i, t in texts}.values()) for texts in turns]
-    toxic = [Counter(r for i, t in unlike[1] if i == turn for r in runs(t)) for turn in range(TURNS)]
-    total = sum(toxic, Counter())
-    several = {r for r, n in total.items() if n >= fewest}
+    toxic = frequent_runs(unlike[1], fewest)
+    several = set().union(*toxic)
+    known = Counter(w for _, t in unlike[0] for w in set(windows(t, 1)))
     parts = []
     for turn in range(TURNS):
         ordinary = [t for i, t in unlike[0] if i == turn]
         usual = Counter(r for t in ordinary for r in runs(t) & several)
-        words = Counter(w for t in ordinary for w in set(windows(t, 1)))
-        parts.append(_Taught((len(ordinary), sum(i == turn for i, _ in unlike[1])), Counter({r: n for r, n in toxic[turn].items() if r in several}), usual, words))
+        words = Counter(w for t in ordinary for w in set(windows(t, 1)) if known[w] >= fewest)
+        parts.append(_Taught((len(ordinary), sum(i == turn for i, _ in unlike[1])), toxic[turn], usual, words))
     sizes = tuple(sum(p.documents[k] for p in parts) for k in (0, 1))
     return [*parts, _Taught(sizes, *(sum((getattr(p, name) for p in parts), Counter()) for name in ("toxic", "usual", "words")))]
 

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+from collections import Counter
 
 import pytest
 import zstandard
@@ -62,6 +63,14 @@ def test_windows_measured_by_hand(rows, words):
     assert model.savings(text).tolist() == expected
 
 
+def test_runs_by_length(rows):
+    texts = [(i % T.TURNS, t) for i, (t, _) in enumerate(rows[:40])]
+    plain = Counter(r for _, t in texts for r in T.runs(t))
+    found = T.frequent_runs(texts, 3)
+    assert sum(found, Counter()) == {r: n for r, n in plain.items() if n >= 3}
+    assert found[1] == Counter(r for i, t in texts if i == 1 for r in T.runs(t) if plain[r] >= 3)
+
+
 def test_nothing_learnt_is_told():
     with pytest.warns(UserWarning, match="no window tells"):
         train([("the same words", i % 2) for i in range(40)])
