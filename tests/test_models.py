@@ -60,32 +60,45 @@ def test_naive_bayes_in_several_passes(table):
     assert by_key(predicted) == by_key(naive_bayes.predict_folds(table))
 
 
-def test_neighbours_refuse_large_tables(table):
-    with pytest.raises(ValueError, match="most_rows"):
-        neighbours.nearest(table, most_rows=149)
-
-
-@pytest.mark.parametrize("block_rows", [20, 10_000])
-def test_neighbours_equal_brute_force(table, block_rows):
+@pytest.mark.parametrize("cell_rows", [4, 20, 10_000])
+def test_neighbours_equal_brute_force(table, cell_rows):
     x, y, folds = arrays(table)
-    predicted = by_key(neighbours.predict_folds(table, block_rows=block_rows))
+    predicted = by_key(neighbours.predict_folds(table, cell_rows=cell_rows))
+    found = {r["row_key"]: [(n["distance"], n["other_key"]) for n in r["near"]] for r in neighbours.search(table, cell_rows=cell_rows)[0].collect()}
     for i in range(len(x)):
         d = np.round(((x - x[i]) ** 2).sum(axis=1), 9)
         near = sorted((d[j], j) for j in range(len(x)) if folds[j] != folds[i])[:5]
+        assert [j for _, j in found[i]] == [j for _, j in near] and [v for v, _ in found[i]] == pytest.approx([v for v, _ in near])
         votes = Counter(int(y[j]) for _, j in near)
         assert predicted[i] == min(votes, key=lambda c: (-votes[c], c))
 
 
 def test_neighbours_with_copies(spark):
-    """A third of the rows are one point: ties go to the lower key."""
+    """A third of the rows are one point, in several parts of its cell: ties go to the lower key."""
     rows = [(i, [0.0, 0.0] if i % 3 == 0 else [float(i), 1.0], i % 2) for i in range(60)]
     table = folded_table(spark.createDataFrame(rows, "key long, features array<double>, label int"), "key")
-    near = neighbours.nearest(table, block_rows=10).where("row_key = 30").collect()
+    near = neighbours.nearest(table, cell_rows=7).where("row_key = 30").collect()
     fold = {r["row_key"]: r["fold"] for r in table.df.collect()}
-    best = sorted((r["distance"], r["other_key"]) for r in near)[:5]
+    best = sorted((r["distance"], r["other_key"]) for r in near)
     assert best == [(0.0, k) for k in [k for k in range(0, 60, 3) if fold[k] != fold[30]][:5]]
 
 
+def test_neighbours_prune(spark):
+    """On clustered rows far fewer distances than all pairs are worked out, and none is missed."""
+    dice = np.random.default_rng(1)
+    centres = dice.normal(size=(40, 6)) * 20
+    x = centres[np.arange(3000) % 40] + dice.normal(size=(3000, 6))
+    table = folded_table(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "key long, features array<double>, label int"), "key")
+    table = replace(table, df=table.df.cache())
+    found, compared = neighbours.search(table, cell_rows=75)
+    fold = {r["row_key"]: r["fold"] for r in table.df.select("row_key", "fold").collect()}
+    assert compared < 0.2 * 3000 * 3000
+    for r in found.where("row_key % 97 = 0").collect():
+        d = ((x - x[r["row_key"]]) ** 2).sum(axis=1)
+        d[[j for j in range(3000) if fold[j] == fold[r["row_key"]]]] = np.inf
+        assert [n["other_key"] for n in r["near"]] == np.argsort(d)[:5].tolist()
+
+
 def test_landmark_map_reproduces_the_kernel(spark, table):
     x, _, _ = arrays(table)
     for kernel in (kernels.rbf_kernel(0.5), kernels.polynomial_kernel(0.5)):
