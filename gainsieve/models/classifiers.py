@@ -18,7 +18,7 @@ from gainsieve.functions.vectors import vector_width
 from gainsieve.models import naive_bayes, neighbours
 from gainsieve.models.boosting import BINS, boosted_prediction, fit_boosted_folds
 from gainsieve.models.gradient import gradient_boosting
-from gainsieve.models.kernels import LANDMARKS, fit_kernel_svm
+from gainsieve.models.kernels import kernel_svm
 from gainsieve.models.trees import decision_tree, random_forest
 from gainsieve.operators.folds import FoldedTable
 
@@ -79,15 +79,6 @@ def logistic_regression(iterations: int = 1000) -> FoldPredictor:
     return from_estimator(make)
 
 
-def kernel_svm(kernel: str, landmarks: int = LANDMARKS) -> FoldPredictor:
-    """Exact up to ``landmarks`` training rows; beyond, the kernel is that of the landmark map, fitted on all rows."""
-
-    def fit(training: DataFrame, table: FoldedTable) -> Callable[[DataFrame], DataFrame]:
-        return fit_kernel_svm(training, len(table.classes), training.count(), kernel, SEED, landmarks)
-
-    return per_fold(fit)
-
-
 def ada_boost(rounds: int = 100, bins: int = BINS) -> FoldPredictor:
     """All folds are fitted in the same passes."""
 

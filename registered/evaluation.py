@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsieve.models import gradient, naive_bayes, neighbours
+from gainsieve.models import gradient, kernels, naive_bayes, neighbours
 from gainsieve.models import classifiers as C
 from gainsieve.operators.folds import FoldedTable, folded_table
 from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
@@ -70,6 +70,18 @@ def q_gradient_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _above_majority(gradient.gradient_boosting()(_three_classes(spark, sf_dir)))
 
 
+def _svm_optimality(kernel: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Whether the machine of every fold is feasible and optimal: balanced multipliers within 0 and 1, no violation, no gap."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = kernels.optimality(kernels.fit_folds(_folds(spark, sf_dir), kernel))
+        gap = (F.col("primal") - F.col("dual")) / F.col("dual")
+        feasible = (F.col("least") >= 0) & (F.col("greatest") <= kernels.PENALTY)
+        return rounded(found.select("fold", "n_rows", F.col("balance"), feasible.alias("feasible"), (F.col("violation") <= kernels.TOLERANCE).alias("optimal"), (gap < 0.01).alias("gap_closed")), "balance")
+
+    return query
+
+
 def _above_majority(predicted: DataFrame) -> DataFrame:
     """Fold sizes, the share of the fold's commonest label, and whether the accuracy is above it."""
     hit = F.avg((F.col("prediction") == F.col("label_index")).cast("int"))
@@ -144,6 +156,8 @@ QUERIES = {
     "logistic_regression_cv": _beats_majority(C.logistic_regression()),
     "svm_rbf_cv": _beats_majority(C.kernel_svm("rbf")),
     "svm_poly_cv": _beats_majority(C.kernel_svm("poly")),
+    "svm_rbf_optimality": _svm_optimality("rbf"),
+    "svm_poly_optimality": _svm_optimality("poly"),
     "rank_select_evaluate": q_rank_select_evaluate,
     "rank_select_small_set": q_rank_select_small_set,
     "select_within_folds": q_select_within_folds,
@@ -272,6 +286,10 @@ MAJORITY = f"""
            round(greatest(avg(y), 1 - avg(y)), 6) + 0.0 AS majority, TRUE AS beats_majority
     FROM placed GROUP BY fold
 """
+OPTIMALITY = f"""
+    WITH {FOLDED} SELECT CAST(f AS INTEGER) AS fold, count(*) AS n_rows, 0.0::DOUBLE AS balance, TRUE AS feasible, TRUE AS optimal, TRUE AS gap_closed
+    FROM placed, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f
+"""
 MAJORITY3 = f"""
     WITH {FOLDED3}, sizes AS (SELECT fold, y, count(*) AS n FROM placed GROUP BY fold, y)
     SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_keys,
@@ -295,6 +313,8 @@ ORACLES = {
     "holdout_accuracy": f"{_nb_sql(HELD_OUT, '[1]')} {SUMMARY}",
     "knn_predictions": f"{KNN} SELECT * FROM predicted",
     "knn_cv": f"{KNN} {BY_FOLD}",
+    "svm_rbf_optimality": OPTIMALITY,
+    "svm_poly_optimality": OPTIMALITY,
     "gradient_boosting_three_classes": MAJORITY3,
     "gradient_boosting_first_round": FIRST_ROUND,
     "decision_tree_predictions": f"{TREE} SELECT * FROM predicted",

@@ -99,19 +99,48 @@ def test_neighbours_prune(spark):
         assert [n["other_key"] for n in r["near"]] == np.argsort(d)[:5].tolist()
 
 
-def test_landmark_map_reproduces_the_kernel(spark, table):
-    x, _, _ = arrays(table)
-    for kernel in (kernels.rbf_kernel(0.5), kernels.polynomial_kernel(0.5)):
-        mapped = kernels.kernel_map(x, kernel)
-        rows = table.df.select("row_key", mapped("features").alias("z")).orderBy("row_key").collect()
-        z = np.array([r["z"] for r in rows])
-        assert z @ z.T == pytest.approx(kernel(x, x), abs=1e-5)
-
-
-def test_landmarks_are_bounded(table):
-    assert len(kernels.landmarks(table.df, 1, wanted=20)) <= 20
-    same = [kernels.landmarks(table.df.repartition(n), 1, wanted=20) for n in (1, 5)]
-    assert (same[0] == same[1]).all()
+def dual_by_hand(k, y, steps=60_000):
+    """Multipliers by steps on the most violating pair, over the whole kernel matrix."""
+    a, v = np.zeros(len(y)), y.astype(float)
+    for _ in range(steps):
+        up = np.where(((y > 0) & (a < 1)) | ((y < 0) & (a > 0)), v, -np.inf)
+        low = np.where(((y < 0) & (a < 1)) | ((y > 0) & (a > 0)), v, np.inf)
+        i, j = int(up.argmax()), int(low.argmin())
+        if up[i] - low[j] < 1e-9:
+            break
+        step = min((up[i] - low[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), 1 - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else 1 - a[j])
+        a[i], a[j] = a[i] + y[i] * step, a[j] - y[j] * step
+        v = v - step * (k[:, i] - k[:, j])
+    return a.sum() - 0.5 * (a * y) @ k @ (a * y)
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "poly"])
+def test_kernel_machines_reach_the_optimum(spark, table, kernel, monkeypatch):
+    """Working sets of 16 rows: the dual objective of every fold is that of a solver on the whole matrix."""
+    monkeypatch.setattr(kernels, "STORE_EVERY", 3)
+    x, y, folds = arrays(table)
+    solved = kernels.fit_folds(table, kernel, working=16, tolerance=1e-5)
+    assert solved.rounds > 4
+    for r in kernels.optimality(solved).collect():
+        train = folds != r["fold"]
+        gamma = 1 / (x.shape[1] * x[train].var())
+        values = kernels.KERNELS[kernel](gamma)(x[train], x[train])
+        assert r["dual"] == pytest.approx(dual_by_hand(values, 2 * y[train] - 1), rel=1e-6)
+        assert r["n_rows"] == train.sum() and abs(r["balance"]) < 1e-9 and r["least"] >= 0 and r["greatest"] <= 1
+        assert r["violation"] <= 1e-5 and 0 <= r["primal"] - r["dual"] < 1e-2 * r["dual"]
+
+
+def test_kernel_machines_with_three_classes(spark):
+    dice = np.random.default_rng(4)
+    x = dice.normal(size=(120, 2))
+    y = (np.arctan2(x[:, 1], x[:, 0]) // 2.1).astype(int)
+    table = folded_table(spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "key long, features array<double>, label int"), "key")
+    table = replace(table, df=table.df.cache())
+    guess = by_key(kernels.kernel_svm("rbf")(table))
+    labels = {r["row_key"]: r["label_index"] for r in table.df.collect()}
+    assert sum(guess[i] == labels[i] for i in labels) > 100
+    one = folded_table(spark.createDataFrame([(i, [float(i)], 1) for i in range(20)], "key long, features array<double>, label int"), "key")
+    assert set(by_key(kernels.kernel_svm("rbf")(one)).values()) == {0}
 
 
 def boosted_by_hand(x, y, thresholds, rounds):
