@@ -8,7 +8,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    LogisticRegression,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector
@@ -19,6 +18,7 @@ from gainsieve.models import naive_bayes, neighbours
 from gainsieve.models.boosting import BINS, boosted_prediction, fit_boosted_folds
 from gainsieve.models.gradient import gradient_boosting
 from gainsieve.models.kernels import kernel_svm
+from gainsieve.models.logistic import logistic_regression
 from gainsieve.models.trees import decision_tree, random_forest
 from gainsieve.operators.folds import FoldedTable
 
@@ -70,15 +70,6 @@ def perceptron(hidden: tuple[int, ...] = (100, 50), iterations: int = 300) -> Fo
     return from_estimator(make)
 
 
-def logistic_regression(iterations: int = 1000) -> FoldPredictor:
-    """A penalty of C = 1 on the summed loss, that is 1/n on the mean loss."""
-
-    def make(training: DataFrame, table: FoldedTable) -> LogisticRegression:
-        return LogisticRegression(maxIter=iterations, regParam=1.0 / max(training.count(), 1), standardization=False, **COLUMNS)
-
-    return from_estimator(make)
-
-
 def ada_boost(rounds: int = 100, bins: int = BINS) -> FoldPredictor:
     """All folds are fitted in the same passes."""
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsieve.models import gradient, kernels, naive_bayes, neighbours
+from gainsieve.models import gradient, kernels, logistic, naive_bayes, neighbours
 from gainsieve.models import classifiers as C
 from gainsieve.operators.folds import FoldedTable, folded_table
 from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
@@ -82,6 +82,13 @@ def _svm_optimality(kernel: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def q_logistic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every fold, the intercept last, and the largest element of the gradient, both to 4 digits."""
+    fits = logistic.fit_folds(_folds(spark, sf_dir))
+    out = [(f, pos, float(w), float(abs(g))) for f, fit in fits.items() for pos, (w, g) in enumerate(zip(fit.w[0], fit.gradient[0], strict=True))]
+    return rounded(spark.createDataFrame(out, "fold int, pos int, weight double, gradient double"), "weight", "gradient", digits=4)
+
+
 def _above_majority(predicted: DataFrame) -> DataFrame:
     """Fold sizes, the share of the fold's commonest label, and whether the accuracy is above it."""
     hit = F.avg((F.col("prediction") == F.col("label_index")).cast("int"))
@@ -153,7 +160,8 @@ QUERIES = {
     "gradient_boosting_first_round": q_gradient_first_round,
     "ada_boost_cv": _beats_majority(C.ada_boost()),
     "mlp_cv": _beats_majority(C.perceptron()),
-    "logistic_regression_cv": _beats_majority(C.logistic_regression()),
+    "logistic_regression_cv": _accuracies(C.logistic_regression()),
+    "logistic_regression_weights": q_logistic_weights,
     "svm_rbf_cv": _beats_majority(C.kernel_svm("rbf")),
     "svm_poly_cv": _beats_majority(C.kernel_svm("poly")),
     "svm_rbf_optimality": _svm_optimality("rbf"),
@@ -286,6 +294,27 @@ MAJORITY = f"""
            round(greatest(avg(y), 1 - avg(y)), 6) + 0.0 AS majority, TRUE AS beats_majority
     FROM placed GROUP BY fold
 """
+#: Gradient descent, a step of the recursion for all folds; its step lengths suit vectors of length 1.
+LOGISTIC = f"""
+    WITH RECURSIVE {FOLDED},
+    r AS (
+        SELECT f, 0 AS step, list_transform(range(64), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b, list_transform(range(64), lambda i: 1.0::DOUBLE) AS g, 1.0::DOUBLE AS gb FROM (SELECT unnest(range(5)) AS f)
+        UNION ALL
+        SELECT r.f, r.step + 1, list_transform(list_zip(r.w, s.g), lambda z: z[1] - 0.15 * (z[1] + z[2])), r.b - 3 / s.n * s.gb,
+               list_transform(list_zip(r.w, s.g), lambda z: z[1] + z[2]), s.gb
+        FROM r JOIN (
+            SELECT f, list(g ORDER BY pos) AS g, any_value(gb) AS gb, any_value(n) AS n FROM (
+                SELECT f, u.pos, sum(d * v[u.pos]) AS g, sum(d) AS gb, count(*) AS n
+                FROM (SELECT r.f, p.v, 1 / (1 + exp(-(list_dot_product(r.w, p.v) + r.b))) - p.y AS d FROM r JOIN placed p ON p.fold <> r.f WHERE r.step < 160),
+                     (SELECT unnest(range(1, 65)) AS pos) u GROUP BY f, u.pos) GROUP BY f) s ON s.f = r.f),
+    fitted AS (SELECT * FROM r WHERE step = 160),
+    predicted AS (SELECT vec_id, CAST(fold AS INTEGER) AS fold, y AS label, CAST(list_dot_product(w, v) + b > 0 AS INTEGER) AS prediction FROM placed JOIN fitted ON f = fold)
+"""
+WEIGHTS = f"""{LOGISTIC}
+    SELECT CAST(f AS INTEGER) AS fold, CAST(pos AS INTEGER) AS pos, round(CASE WHEN pos < 64 THEN w[pos + 1] ELSE b END, 4) + 0.0 AS weight,
+           round(abs(CASE WHEN pos < 64 THEN g[pos + 1] ELSE gb END), 4) + 0.0 AS gradient
+    FROM fitted, (SELECT unnest(range(65)) AS pos)
+"""
 OPTIMALITY = f"""
     WITH {FOLDED} SELECT CAST(f AS INTEGER) AS fold, count(*) AS n_rows, 0.0::DOUBLE AS balance, TRUE AS feasible, TRUE AS optimal, TRUE AS gap_closed
     FROM placed, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f
@@ -296,7 +325,7 @@ MAJORITY3 = f"""
            round(max(n) / sum(n), 6) + 0.0 AS majority, TRUE AS beats_majority
     FROM sizes GROUP BY fold
 """
-MODELS = ["random_forest", "gradient_boosting", "ada_boost", "mlp", "logistic_regression", "svm_rbf", "svm_poly"]
+MODELS = ["random_forest", "gradient_boosting", "ada_boost", "mlp", "svm_rbf", "svm_poly"]
 
 ORACLES = {
     "rank_select_evaluate": f"""
@@ -313,6 +342,8 @@ ORACLES = {
     "holdout_accuracy": f"{_nb_sql(HELD_OUT, '[1]')} {SUMMARY}",
     "knn_predictions": f"{KNN} SELECT * FROM predicted",
     "knn_cv": f"{KNN} {BY_FOLD}",
+    "logistic_regression_cv": f"{LOGISTIC} {BY_FOLD}",
+    "logistic_regression_weights": WEIGHTS,
     "svm_rbf_optimality": OPTIMALITY,
     "svm_poly_optimality": OPTIMALITY,
     "gradient_boosting_three_classes": MAJORITY3,

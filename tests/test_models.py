@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gainsieve.models import classifiers as C
-from gainsieve.models import kernels, naive_bayes, neighbours
+from gainsieve.models import kernels, logistic, naive_bayes, neighbours
 from gainsieve.models.boosting import Stump, boosted_prediction, fit_boosted_folds, fit_boosted_stumps
 from gainsieve.models.evaluation import evaluate
 from gainsieve.operators.folds import folded_table
@@ -143,6 +143,31 @@ def test_kernel_machines_with_three_classes(spark):
     assert set(by_key(kernels.kernel_svm("rbf")(one)).values()) == {0}
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_logistic_regression_reaches_the_optimum(table, classes):
+    """The gradient is nothing, by numeric differences of the loss; predictions are those of the weights."""
+    df = table.df.selectExpr("row_key", "features", "label_index + CAST(features[2] > 0.4 AS INT) * %d AS label_index" % (classes - 2), "fold")
+    table = replace(table, df=df.cache(), classes=list(range(classes)))
+    x, y, folds = arrays(table)
+    predicted = by_key(logistic.logistic_regression()(table))
+    for f, fit in logistic.fit_folds(table).items():
+        train = folds != f
+
+        def loss(w):
+            z = x[train] @ w[:, :-1].T + w[:, -1]
+            z = np.column_stack([np.zeros(len(z)), z]) if classes == 2 else z
+            return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), y[train]]).sum() + 0.5 * (w[:, :-1] ** 2).sum()
+
+        assert fit.done and np.abs(fit.gradient).max() <= 1e-6
+        for at in np.ndindex(fit.w.shape):
+            step = np.zeros(fit.w.shape)
+            step[at] = 1e-4
+            assert abs(loss(fit.w + step) - loss(fit.w - step)) < 1e-8
+        z = x @ fit.w[:, :-1].T + fit.w[:, -1]
+        guess = (z[:, 0] > 0).astype(int) if classes == 2 else z.argmax(axis=1)
+        assert all(predicted[i] == guess[i] for i in np.flatnonzero(~train))
+
+
 def boosted_by_hand(x, y, thresholds, rounds):
     """SAMME with the stump that leaves the least weighted Gini impurity."""
     weight, votes = np.ones(len(y)), np.zeros((len(y), 2))
