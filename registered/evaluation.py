@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsieve.models import gradient, kernels, logistic, naive_bayes, neighbours
+from gainsieve.models import boosting, gradient, kernels, logistic, naive_bayes, neighbours
 from gainsieve.models import classifiers as C
 from gainsieve.operators.folds import FoldedTable, folded_table
 from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
@@ -89,6 +89,14 @@ def q_logistic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(out, "fold int, pos int, weight double, gradient double"), "weight", "gradient", digits=4)
 
 
+def q_ada_boost_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three stumps of every fold."""
+    folded = _folds(spark, sf_dir)
+    found = boosting.fit_boosted_folds(folded.df, 2, folded.tested, rounds=3)
+    out = [(f, n, s.feature, s.threshold, s.below, s.above, s.weight) for f, stumps in zip(folded.tested, found, strict=True) for n, s in enumerate(stumps)]
+    return rounded(spark.createDataFrame(out, "fold int, round int, feature int, threshold double, below int, above int, weight double"), "threshold", "weight")
+
+
 def _above_majority(predicted: DataFrame) -> DataFrame:
     """Fold sizes, the share of the fold's commonest label, and whether the accuracy is above it."""
     hit = F.avg((F.col("prediction") == F.col("label_index")).cast("int"))
@@ -159,6 +167,7 @@ QUERIES = {
     "gradient_boosting_three_classes": q_gradient_three_classes,
     "gradient_boosting_first_round": q_gradient_first_round,
     "ada_boost_cv": _beats_majority(C.ada_boost()),
+    "ada_boost_stumps": q_ada_boost_stumps,
     "mlp_cv": _beats_majority(C.perceptron()),
     "logistic_regression_cv": _accuracies(C.logistic_regression()),
     "logistic_regression_weights": q_logistic_weights,
@@ -294,6 +303,26 @@ MAJORITY = f"""
            round(greatest(avg(y), 1 - avg(y)), 6) + 0.0 AS majority, TRUE AS beats_majority
     FROM placed GROUP BY fold
 """
+#: A round of all folds is a step of the recursion, which carries the weights of the rows.
+STUMPS = f"""
+    WITH RECURSIVE {FOLDED},
+    r AS (
+        SELECT f, vec_id, y, v, -1 AS step, 1.0::DOUBLE AS w, 0 AS feature, 0.0::DOUBLE AS threshold, 0 AS below, 0 AS above, 0.0::DOUBLE AS weight
+        FROM placed, (SELECT unnest(range(5)) AS f) WHERE fold <> f
+        UNION ALL
+        SELECT f, vec_id, y, v, step + 1, w * CASE WHEN CASE WHEN v[pos] <= x THEN low ELSE high END <> y THEN exp(alpha) ELSE 1 END, pos - 1, x, low, high, alpha
+        FROM (SELECT r.f, r.vec_id, r.y, r.v, r.step, r.w, b.pos, b.x, b.low, b.high, ln((1 - greatest(b.error, 1e-10)) / greatest(b.error, 1e-10)) AS alpha
+              FROM r JOIN (
+                SELECT f, pos, x, CAST(s1 > a - s1 AS INTEGER) AS low, CAST(CASE WHEN n - a > 1e-12 * n THEN ones - s1 > n - a - ones + s1 ELSE s1 > a - s1 END AS INTEGER) AS high,
+                       (n - greatest(s1, a - s1) - CASE WHEN n - a > 1e-12 * n THEN greatest(ones - s1, n - a - ones + s1) ELSE 0 END) / n AS error,
+                       row_number() OVER (PARTITION BY f ORDER BY round((a - (s1 * s1 + (a - s1) * (a - s1)) / a
+                           + CASE WHEN n - a > 1e-12 * n THEN (n - a) - ((ones - s1) * (ones - s1) + (n - a - ones + s1) * (n - a - ones + s1)) / (n - a) ELSE 0 END) / n, 9), pos, x) AS place
+                FROM (SELECT *, sum(c) OVER o AS a, sum(c1) OVER o AS s1, sum(c) OVER p AS n, sum(c1) OVER p AS ones
+                      FROM (SELECT f, u.pos, v[u.pos] AS x, sum(w) AS c, sum(w * y) AS c1 FROM r, (SELECT unnest(range(1, 65)) AS pos) u WHERE step < 2 GROUP BY ALL)
+                      WINDOW o AS (PARTITION BY f, pos ORDER BY x ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY f, pos))
+              ) b ON b.f = r.f AND b.place = 1))
+    SELECT DISTINCT CAST(f AS INTEGER) AS fold, step AS round, CAST(feature AS INTEGER) AS feature, round(threshold, 6) + 0.0 AS threshold, below, above, round(weight, 6) + 0.0 AS weight FROM r WHERE step >= 0
+"""
 #: Gradient descent, a step of the recursion for all folds; its step lengths suit vectors of length 1.
 LOGISTIC = f"""
     WITH RECURSIVE {FOLDED},
@@ -342,6 +371,7 @@ ORACLES = {
     "holdout_accuracy": f"{_nb_sql(HELD_OUT, '[1]')} {SUMMARY}",
     "knn_predictions": f"{KNN} SELECT * FROM predicted",
     "knn_cv": f"{KNN} {BY_FOLD}",
+    "ada_boost_stumps": STUMPS,
     "logistic_regression_cv": f"{LOGISTIC} {BY_FOLD}",
     "logistic_regression_weights": WEIGHTS,
     "svm_rbf_optimality": OPTIMALITY,

@@ -188,7 +188,8 @@ def boosted_by_hand(x, y, thresholds, rounds):
     return votes.argmax(axis=1)
 
 
-def test_boosting_equals_brute_force(spark):
+@pytest.mark.parametrize("task_rows", [0, 10_000])
+def test_boosting_equals_brute_force(spark, task_rows):
     """Few values per feature, so that every threshold is a candidate on both sides."""
     rng = random.Random(5)
     rows = []
@@ -196,7 +197,7 @@ def test_boosting_equals_brute_force(spark):
         v = [float(rng.randrange(6)) for _ in range(3)]
         rows.append((v, int(v[0] + v[1] * rng.choice([0.5, 1.0]) > 5)))
     df = spark.createDataFrame(rows, "features array<double>, label_index int")
-    stumps = fit_boosted_stumps(df, 2, rounds=8)
+    stumps = fit_boosted_stumps(df, 2, rounds=8, task_rows=task_rows)
     assert len(stumps) == 8
     found = [int(r[0]) for r in df.select(boosted_prediction(stumps, 2, F.col("features"))).collect()]
     x, y = np.array([v for v, _ in rows]), np.array([c for _, c in rows])
@@ -204,7 +205,8 @@ def test_boosting_equals_brute_force(spark):
     assert np.mean(np.array(found) == boosted_by_hand(x, y, thresholds, 8)) > 0.97
 
 
-def test_boosted_folds_equal_separate_fits(spark):
+@pytest.mark.parametrize("task_rows", [0, 10_000])
+def test_boosted_folds_equal_separate_fits(spark, task_rows):
     """Three classes, values that are null, NaN or missing, and rounds past a write of the weights."""
     rng = random.Random(6)
     rows = []
@@ -212,9 +214,9 @@ def test_boosted_folds_equal_separate_fits(spark):
         v = [float(rng.randrange(7)), rng.choice([None, float("nan"), 1.0, 2.0]), float(rng.randrange(4))]
         rows.append((i % 3, v[: rng.choice([2, 3])], min(2, int(v[0] + rng.choice([0, 1])) // 3)))
     df = spark.createDataFrame(rows, "fold int, features array<double>, label_index int")
-    together = fit_boosted_folds(df, 3, [0, 2], rounds=27)
+    together = fit_boosted_folds(df, 3, [0, 2], rounds=27, task_rows=task_rows)
     for fold, stumps in zip([0, 2], together, strict=True):
-        alone = fit_boosted_stumps(df.where(f"fold <> {fold}"), 3, rounds=27)
+        alone = fit_boosted_stumps(df.where(f"fold <> {fold}"), 3, rounds=27, task_rows=10_000 - task_rows)
         assert [(s.feature, s.below, s.above) for s in stumps[:5]] == [(s.feature, s.below, s.above) for s in alone[:5]]
         assert len(stumps) == 27
         guess = boosted_prediction(stumps, 3, F.col("features")).cast("int")
