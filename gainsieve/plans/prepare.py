@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gainsieve.functions.vectors import fix_width
-from gainsieve.operators.sampling import class_shortfall, first_per_class, first_rows, seeded_shuffle
+from gainsieve.operators.sampling import class_shortfall, first_rows, seeded_shuffle
 from gainsieve.operators.scaling import first_vector, min_max_scale
 from gainsieve.session import materialise
-from gainsieve.sources.jsonl import POSITION, SPLIT, parse_records, read_lines, write_lines
+from gainsieve.sources.jsonl import POSITION, file_batches, parse_records, read_lines, write_lines
 from gainsieve.sources.tables import widen, write_table
 
 log = logging.getLogger(__name__)
@@ -21,12 +22,40 @@ SAMPLES_PER_CLASS = 2500
 SEED = 42
 
 
+# Bytes of the first batch of files; later ones are twice as large each.
+FIRST_BYTES = 1 << 30
+
+
+def first_lines(spark: SparkSession, source: str, n: int, classes: Sequence[int] = (0, 1), first_bytes: int = FIRST_BYTES) -> DataFrame:
+    """``value, label`` and position of the first ``n`` valid lines of each class, stored.
+
+    Files are read in order, a batch at a time, until all classes are full, and every line once: a split
+    keeps its first ``n`` lines of each class, and the first of those of all splits are written.
+    """
+    lacking = dict.fromkeys(classes, n)
+    parts = []
+    for files in file_batches(spark, source, first_bytes) if n else ():
+        wanted = [c for c in classes if lacking[c]]
+        parsed = parse_records(read_lines(spark, files)).select("value", "label", *POSITION).where(F.col("label").isin(wanted))
+        rank = F.row_number().over(Window.partitionBy("label").orderBy(*POSITION))
+        kept = parsed.withColumn("_rank", rank).where(F.col("_rank") <= max(lacking.values()))
+        parts.append(materialise(kept.where(F.coalesce(F.create_map(*(F.lit(x) for c in wanted for x in (c, lacking[c])))[F.col("label")], F.lit(0)) >= F.col("_rank")).drop("_rank")))
+        for row in parts[-1].groupBy("label").count().collect():
+            lacking[row["label"]] -= row["count"]
+        if not any(lacking.values()):
+            break
+    if not parts:
+        return parse_records(read_lines(spark, source)).select("value", "label", *POSITION).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def balanced_lines(
-    spark: SparkSession, source: str, n: int = SAMPLES_PER_CLASS, seed: int = SEED
+    spark: SparkSession, source: str, n: int = SAMPLES_PER_CLASS, seed: int = SEED, first_bytes: int = FIRST_BYTES
 ) -> DataFrame:
     """The first ``n`` valid lines of class 0 and of class 1, shuffled."""
-    records = parse_records(read_lines(spark, source)).select("value", "label", *POSITION)
-    sample = materialise(first_per_class(records, n, POSITION, split=SPLIT))
+    if n < 0:
+        raise ValueError("n must not be negative")
+    sample = first_lines(spark, source, n, first_bytes=first_bytes)
     for cls, lacking in class_shortfall(sample, n).items():
         log.warning("class %s lacks %s of %s rows", cls, lacking, n)
     return seeded_shuffle(sample, POSITION, seed)

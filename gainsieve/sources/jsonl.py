@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gainsieve.functions.records import extracted
@@ -28,6 +30,24 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def file_batches(spark: SparkSession, path: str | list[str], first_bytes: int) -> Iterator[list[str]]:
+    """The files below ``path`` in order of their names, in batches of twice the bytes each time.
+
+    Only the listing is read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    batch: list[str] = []
+    held, most = 0, first_bytes
+    for row in sorted(listed.where("length > 0").collect()):
+        batch.append(row["path"])
+        held += row["length"]
+        if held >= most:
+            yield batch
+            batch, held, most = [], 0, 2 * most
+    if batch:
+        yield batch
+
+
 def parse_records(
     lines: DataFrame, column: str = "value", numeric_strings: bool = False, valid_only: bool = True
 ) -> DataFrame:

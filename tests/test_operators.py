@@ -131,3 +131,29 @@ def test_profiles(spark):
         unlisted.classes
     row = dataset_profile(df, wanted_per_class=3).first()
     assert row.asDict() == {"total_rows": 50, "n_features": 1, "class_0": 2, "class_1": 2, "short_0": 1, "short_1": 1}
+
+
+def test_first_lines_read_a_prefix_once(spark, tmp_path, monkeypatch):
+    """Files are read in order until both classes are full, each line once."""
+    import json
+
+    from gainsieve.plans import prepare
+
+    path, rows = tmp_path / "lines", []
+    path.mkdir()
+    for f in range(6):
+        lines = []
+        for i in range(40):
+            label = int(f >= 2 and i % 5 == 0)
+            lines.append(json.dumps({"label": label, "features": [f, i]}) if i % 7 else ["", "no json", '{"label": 2, "features": [1]}'][i % 3])
+            rows.append((f, i, label, lines[-1], bool(i % 7)))
+        (path / f"part-{f}.txt").write_text("\n".join(lines))
+    read = []
+    lines_of = prepare.read_lines
+    monkeypatch.setattr(prepare, "read_lines", lambda spark, files: read.extend(files) or lines_of(spark, files))
+    sample = prepare.first_lines(spark, str(path), 9, first_bytes=1)
+    expected = {c: [v for _, _, label, v, valid in rows if valid and label == c][:9] for c in (0, 1)}
+    assert sorted((r["label"], r["value"]) for r in sample.collect()) == sorted((c, v) for c in (0, 1) for v in expected[c])
+    assert [p.rsplit("/", 1)[1] for p in read] == [f"part-{f}.txt" for f in range(4)]
+    whole = prepare.balanced_lines(spark, str(path), 1000)
+    assert whole.count() == sum(valid for *_, valid in rows) and prepare.balanced_lines(spark, str(path), 0).count() == 0

@@ -177,3 +177,17 @@ def test_cells_are_shuffled_once(spark):
     plan = information_gain(melt_vector(df), class_profile(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "partial_count" in plan
+
+
+def test_csv_gain_reads_the_text_once(spark, tmp_path):
+    from gainsieve.operators.ranking import cell_sums, labelled_cells, rank_cells
+    from gainsieve.sources.tables import read_cells
+
+    (tmp_path / "t.csv").write_text("a,label,b\nx,0,1\nx,0,1.0\ny,1,\ny,0,2\nz,,3\n")
+    table = read_cells(spark, str(tmp_path / "t.csv"))
+    plan = cell_sums(labelled_cells(table, 1), 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    got = {r["feature"]: (r["n_cells"], round(r["score"], 6)) for r in rank_cells(table).collect()}
+    assert got == {"a": (4, 0.311278), "b": (3, 0.811278)}
+    got = {r["feature"]: (r["n_cells"], round(r["score"], 6)) for r in rank_cells(table, numeric=True).collect()}
+    assert got == {"b": (3, 0.811278)}
