@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gainsieve.models import boosting, gradient, kernels, logistic, naive_bayes, neighbours
 from gainsieve.models import classifiers as C
+from gainsieve.models.evaluation import evaluate_vectors
 from gainsieve.operators.folds import FoldedTable, folded_table
 from gainsieve.plans.experiment import evaluate_within_folds, rank_and_evaluate
 from gainsieve.session import materialise
 from registered.ranking import folds_sql
-from registered.tables import QUANTISED, SIDE_SQL, THIRD_SQL, gain_sql, quantised, rounded, third, vectors
+from registered.tables import QUANTISED, SIDE_SQL, THIRD_SQL, gain_sql, quantised, rounded, table, third, vectors
 
 def _folds(spark: SparkSession, sf_dir: str, hold_out: bool = False) -> FoldedTable:
     """The folded vectors, written out once for the many passes of a fit."""
@@ -146,6 +147,20 @@ def q_rank_select_small_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("classifier", "status", (F.col("accuracy") > max(share, 1 - share)).alias("beats_majority"))
 
 
+def q_rank_select_full_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger published set of classifiers, those that have a distributed form, after the ranking."""
+    rows = quantised(spark, sf_dir, two_classes=True)
+    _, results = rank_and_evaluate(rows, "vec_id", C.FULL_SET, k=20)
+    share = rows.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    return results.select("classifier", "status", (F.col("accuracy") > max(share, 1 - share)).alias("beats_majority"))
+
+
+def q_too_few_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five regions are too few rows to judge a classifier on."""
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.array(F.col("r_regionkey").cast("double")).alias("features"), (F.col("r_regionkey") % 2).alias("label"))
+    return evaluate_vectors(regions, C.SMALL_SET, "r_regionkey")
+
+
 def q_select_within_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the features chosen anew for each fold."""
     exact = {name: C.FULL_SET[name] for name in ["Naive Bayes", "KNN"]}
@@ -177,6 +192,8 @@ QUERIES = {
     "svm_poly_optimality": _svm_optimality("poly"),
     "rank_select_evaluate": q_rank_select_evaluate,
     "rank_select_small_set": q_rank_select_small_set,
+    "rank_select_full_set": q_rank_select_full_set,
+    "too_few_rows": q_too_few_rows,
     "select_within_folds": q_select_within_folds,
 }
 
@@ -364,6 +381,10 @@ ORACLES = {
         SELECT 'Naive Bayes' AS classifier, *, 'ok' AS status FROM ({_within_folds(_nb_sql("{placed}", "[{f}]", 20))})
         UNION ALL SELECT 'KNN', *, 'ok' FROM ({_within_folds("WITH {placed} " + KNN_STEPS)})""",
     "rank_select_small_set": "SELECT unnest(['Random Forest', 'Decision Tree', 'KNN', 'Naive Bayes', 'SVM']) AS classifier, 'ok' AS status, TRUE AS beats_majority",
+    "rank_select_full_set": """
+        SELECT unnest(['Random Forest', 'Gradient Boosting', 'AdaBoost', 'Decision Tree', 'KNN', 'Naive Bayes', 'SVM RBF', 'SVM Poly', 'MLP', 'Logistic Regression']) AS classifier, 'ok' AS status, TRUE AS beats_majority""",
+    "too_few_rows": """
+        SELECT unnest(['Random Forest', 'Decision Tree', 'KNN', 'Naive Bayes', 'SVM']) AS classifier, 0.0::DOUBLE AS accuracy, 0.0::DOUBLE AS std, 'too few rows' AS status FROM (SELECT count(*) AS n FROM region) WHERE n < 10""",
     **{f"{model}_cv": MAJORITY for model in MODELS},
     "gaussian_nb_predictions": f"{_nb_sql(FOLDED, 'range(0, 5)')} SELECT * FROM predicted",
     "gaussian_nb_cv": f"{_nb_sql(FOLDED, 'range(0, 5)')} {BY_FOLD}",

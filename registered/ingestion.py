@@ -155,7 +155,45 @@ def q_score_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_scores(spark, path), "score")
 
 
+def q_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents, written and read as they are: blank ones are left out."""
+    path = scratch_path(spark, "blank")
+    write_lines(table(spark, sf_dir, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "[\\r\\n]")).alias("value")), path)
+    return read_lines(spark, path).agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
+
+
+def q_usable_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain against a target that is empty or a repeated header in some rows, which do not count."""
+    line = F.col("l_linenumber")
+    label = F.when(line == 1, "  ").when(line == 2, " LABEL ").when(line == 3, F.lit(None)).otherwise(F.concat(F.lit(" "), F.col(CLASS)))
+    rows = table(spark, sf_dir, "lineitem").select(*TEXT_FEATURES, label.alias("Target"))
+    return rounded(rank_table(rows).select("feature", "n_cells", "score"), "score")
+
+
+def q_cells_past_the_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines longer than their header lose the rest, shorter ones lack cells."""
+    path = scratch_path(spark, "ragged")
+    line = F.concat_ws(",", "l_orderkey", F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")), F.when(F.col("l_linenumber") > 2, F.lit("more")))
+    lines = table(spark, sf_dir, "lineitem").select(line.alias("orderkey,flag"))
+    lines.write.options(header=True, sep="\x1f", quote="").csv(path)
+    cells = read_cells(spark, path).df.select(F.size("cells").alias("n_cells"), F.get("cells", F.lit(1)).alias("flag"))
+    return cells.groupBy("n_cells", "flag").agg(F.count("*").alias("n"))
+
+
+def q_well_formed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score lines with a name and a number are read, others are left out."""
+    path = scratch_path(spark, "score-lines")
+    line, name = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    text = F.when(line == 1, name).when(line == 2, F.concat_ws("\t", name, "l_returnflag")).when(line == 3, F.concat_ws("\t", name, "l_linenumber", "l_linenumber"))
+    write_lines(table(spark, sf_dir, "lineitem").select(text.otherwise(F.concat_ws("\t", name, "l_suppkey")).alias("value")), path)
+    return read_scores(spark, path).agg(F.count("*").alias("n"), F.sum("score").cast("bigint").alias("total"))
+
+
 QUERIES = {
+    "blank_lines": q_blank_lines,
+    "usable_targets": q_usable_targets,
+    "cells_past_the_header": q_cells_past_the_header,
+    "well_formed_scores": q_well_formed_scores,
     "label_from_record": q_label_from_record,
     "features_from_record": q_features_from_record,
     "valid_records": q_valid_records,
@@ -196,6 +234,13 @@ SCALED_COLUMNS = ", ".join(
 )
 
 ORACLES = {
+    "blank_lines": r"""
+        SELECT count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars
+        FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '[\r\n]')) AS line FROM documents) WHERE regexp_matches(line, '\S')""",
+    "usable_targets": gain_sql(cells_sql(TEXT_FEATURES, source="(SELECT * FROM lineitem WHERE l_linenumber > 3)"), "SELECT l_returnflag AS y FROM lineitem WHERE l_linenumber > 3"),
+    "cells_past_the_header": """
+        SELECT least(l_linenumber, 2) AS n_cells, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS flag, count(*) AS n FROM lineitem GROUP BY ALL""",
+    "well_formed_scores": "SELECT count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS total FROM lineitem WHERE l_linenumber > 3",
     "label_from_record": f"""
         SELECT doc_id, CASE WHEN doc_id % 6 <> 4 THEN CAST(quality AS BIGINT) END AS label FROM ({DOCS}) WHERE doc_id % 6 <> 5""",
     "features_from_record": f"""

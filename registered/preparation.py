@@ -151,7 +151,13 @@ def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", held_out(["doc_id"]).alias("is_test"))
 
 
+def q_two_of_many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of two of the ten classes of the vectors; rows of the others are never taken."""
+    return first_per_class(table(spark, sf_dir, "embeddings").select("vec_id", "label"), PER_CLASS, ["vec_id"], "label", (0, 1))
+
+
 QUERIES = {
+    "two_of_many_classes": q_two_of_many_classes,
     "balanced_sample": _sample,
     "shuffle_order": q_shuffle_order,
     "row_cap": q_row_cap,
@@ -188,6 +194,8 @@ ELEMENTS = ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0 AS fea
 WITH_CONSTANT = f"{CELLS} UNION ALL SELECT vec_id, 64, 7.5 FROM embeddings"
 
 ORACLES = {
+    "two_of_many_classes": f"""
+        SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings WHERE label IN (0, 1)) WHERE place <= {PER_CLASS}""",
     "balanced_sample": SAMPLE_SQL,
     "shuffle_order": f"""
         SELECT doc_id, quality, CAST(row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS INTEGER) AS place FROM ({SAMPLE_SQL})""",
