@@ -7,8 +7,13 @@ left after the last pass are exactly the repeated windows.
 The first digit is the least 32-byte string of the window, with its place in it: it depends
 on the window alone, so equal windows agree on it, and it stays the same for a run of
 windows, which is sorted as one suffix. The second digit is the whole run. Runs that differ
-although their first digits agree are sorted window by window in the last pass. Digits are
-compared as hashes, of 128 bits together for runs and 96 for windows.
+although their first digits agree are sorted window by window in the last pass. Where a task
+finds a first digit with many different runs, as a footer of every page makes, it sends only two of
+them to be compared; that makes every run of that digit go to the last pass, where the others of the
+task go at once. So no group holds more than a few runs of a digit from each task.
+
+Digits are compared as hashes, of 128 bits together for runs and 96 for windows, from independent
+tables; results are exact but for a collision of all of these.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from gainsieve.session import materialise
 _U64 = np.uint64
 WINDOW = 100
 DIGIT = 32
+#: Different runs of one first digit that a task sends to be compared, at most.
+MOST_RUNS = 8
 #: Bytes hashed at once, text bytes and windows for each bucket, runs a task sends at once.
 CHUNK, BUCKET_BYTES, BUCKET_WINDOWS, HELD_RUNS = 1 << 18, 1 << 24, 1 << 19, 1 << 18
 NO_KEY = -(1 << 63)
@@ -86,7 +93,7 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, digi
     starts, lengths = starts[kept], lengths[kept]
     at = place[starts]
     first = mixed(digits[at] + _U64(0x9E3779B97F4A7C15))
-    runs = found.hashes(starts, starts + lengths + window - 1)
+    runs = _Substrings(data, _SECOND).hashes(starts, starts + lengths + window - 1)
     return first, mixed(runs + (at - starts).astype(_U64) * _U64(0xD6E8FEB86659FD93) + lengths.astype(_U64)), starts, lengths
 
 
@@ -133,12 +140,12 @@ def _sent(buckets: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in buckets], pa.int32()), pa.array([d for _, d in buckets], pa.binary())], names=["bucket", "data"])
 
 
-def _known(docs: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """Spans that need no more comparing, dealt to buckets below 0 by their documents."""
+def _known(docs: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, buckets: int, found: bool = True) -> list[tuple[int, bytes]]:
+    """Spans that need no comparing of runs, dealt to buckets below 0 by their documents: odd ones if found, even ones if open."""
     at = (mixed(docs.astype(_U64) ^ rows.astype(_U64)) % _U64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at, docs, rows, lo, n = at[order], docs[order], rows[order], lo[order], n[order]
-    return [(-1 - b, pack(docs[r], rows[r], lo[r], n[r])) for b, r in runs_of(at)]
+    return [(-1 - 2 * b - (not found), pack(docs[r], rows[r], lo[r], n[r])) for b, r in runs_of(at)]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -170,6 +177,13 @@ def _runs_of_rows(docs: DataFrame, bits: int, window: int, digit: int) -> DataFr
             out = _known(doc[later], no[later], lo[later], n[later], 1 << bits)
             new = ~later & _firsts(k, f, doc, lo, no)
             k, f, doc, no, lo, n = k[new], f[new], doc[new], no[new], lo[new], n[new]
+            kind = np.cumsum(_firsts(k, f))
+            digit_of = np.cumsum(_firsts(k)) - 1
+            first_kind = kind[_firsts(k)][digit_of] if len(k) else kind
+            kinds = (kind - first_kind + 1)[np.append(np.flatnonzero(_firsts(k))[1:], len(k)) - 1][digit_of] if len(k) else kind
+            free = (kinds > MOST_RUNS) & (kind - first_kind >= 2)
+            out += _known(doc[free], no[free], lo[free], n[free], 1 << bits, found=False)
+            k, f, doc, no, lo, n = k[~free], f[~free], doc[~free], no[~free], lo[~free], n[~free]
             return _sent(out + [(b, pack(k[r], f[r], doc[r], no[r], lo[r], n[r])) for b, r in runs_of(bucket_of(k, bits, 64))])
 
         for batch in batches:
@@ -197,7 +211,7 @@ def _compare_runs(sent: DataFrame) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             doc, no, lo, n = (np.concatenate(c).astype(np.int64) for c in zip(*(unpack(b, 4) for b in group["data"].to_pylist()), strict=True))
-            found = np.ones(len(doc), bool)
+            found = np.full(len(doc), key[0].as_py() % 2 == 1)
         else:
             k, f, doc, no, lo, n = (np.concatenate(c) for c in zip(*(unpack(b, 6) for b in group["data"].to_pylist()), strict=True))
             doc, no, lo, n = doc.astype(np.int64), no.astype(np.int64), lo.astype(np.int64), n.astype(np.int64)

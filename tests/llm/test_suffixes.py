@@ -76,3 +76,25 @@ def test_texts_under_one_key(spark, key):
     for parts in (1, 6):
         got = suffixes.remove_repeats(df.repartition(parts), "doc_id", window=30, digit=12).collect()
         assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == plain(rows, 30)
+
+
+def test_footer_in_every_document(spark, monkeypatch):
+    """A passage that all documents share, between texts of their own: no group holds a run of each, nothing is missed."""
+    dice = random.Random(8)
+    footer = "All rights reserved by the owners of this fine page, 2024-2025!!"
+    text = lambda: "".join(dice.choice("abcdefghij ") for _ in range(dice.randint(150, 400)))
+    texts = [(i, text() + footer + text()) for i in range(600)] + [(1000 + i, "x" * 40 + footer + "y" * 40) for i in range(5)]
+    docs = spark.createDataFrame(texts, "doc long, t string").selectExpr("doc", "0L AS row", "CAST(t AS BINARY) AS t").repartition(3)
+    sent = suffixes._runs_of_rows(docs, 0, 100, 32)
+    digits = Counter()
+    for r in sent.where("bucket >= 0").collect():
+        digits.update(suffixes.unpack(bytes(r["data"]), 6)[0].tolist())
+    assert max(digits.values()) <= 3 * suffixes.MOST_RUNS
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    expected = Counter()
+    for (k, *counts, kept), n in plain(texts, 100).items():
+        expected[(k, *counts, kept)] += n
+    got = Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffixes.remove_repeats(frame, "doc_id").collect())
+    assert got == expected
+    monkeypatch.setattr(suffixes, "MOST_RUNS", 10**9)
+    assert Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffixes.remove_repeats(frame, "doc_id").collect()) == expected
