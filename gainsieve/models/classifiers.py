@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassifier,
-)
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from gainsieve.functions.vectors import vector_width
 from gainsieve.models import naive_bayes, neighbours
 from gainsieve.models.boosting import BINS, boosted_prediction, fit_boosted_folds
 from gainsieve.models.gradient import gradient_boosting
 from gainsieve.models.kernels import kernel_svm
 from gainsieve.models.logistic import logistic_regression
+from gainsieve.models.perceptron import perceptron
 from gainsieve.models.trees import decision_tree, random_forest
 from gainsieve.operators.folds import FoldedTable
 
@@ -27,49 +20,6 @@ SEED = 42
 # Predicts every tested row of a table: ``row_key, fold, label_index, prediction``.
 FoldPredictor = Callable[[FoldedTable], DataFrame]
 
-# Fits a training table and returns the function that adds ``prediction``.
-Fit = Callable[[DataFrame, FoldedTable], Callable[[DataFrame], DataFrame]]
-
-
-def per_fold(fit: Fit) -> FoldPredictor:
-    """Fit once per fold, folds side by side, and predict the rows left out."""
-
-    def predict(table: FoldedTable) -> DataFrame:
-        def one(fold: int) -> DataFrame:
-            return fit(table.training(fold), table)(table.testing(fold)).select(
-                "row_key", "fold", "label_index", F.col("prediction").cast("double").alias("prediction")
-            )
-
-        with ThreadPool(len(table.tested)) as pool:
-            parts = pool.map(inheritable_thread_target(table.df.sparkSession)(one), table.tested)
-        return reduce(DataFrame.unionByName, parts)
-
-    return predict
-
-
-def with_vector(df: DataFrame) -> DataFrame:
-    return df.withColumn("vector", array_to_vector("features"))
-
-
-def from_estimator(make: Callable[[DataFrame, FoldedTable], object]) -> FoldPredictor:
-    def fit(training: DataFrame, table: FoldedTable) -> Callable[[DataFrame], DataFrame]:
-        model = make(training, table).fit(with_vector(training))
-        return lambda df: model.transform(with_vector(df))
-
-    return per_fold(fit)
-
-
-COLUMNS = {"featuresCol": "vector", "labelCol": "label_index"}
-
-
-def perceptron(hidden: tuple[int, ...] = (100, 50), iterations: int = 300) -> FoldPredictor:
-    def make(training: DataFrame, table: FoldedTable) -> MultilayerPerceptronClassifier:
-        layers = [vector_width(training), *hidden, len(table.classes)]
-        return MultilayerPerceptronClassifier(layers=layers, maxIter=iterations, seed=SEED, **COLUMNS)
-
-    return from_estimator(make)
-
-
 def ada_boost(rounds: int = 100, bins: int = BINS) -> FoldPredictor:
     """All folds are fitted in the same passes."""
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gainsieve.models import boosting, gradient, kernels, logistic, naive_bayes, neighbours
+from gainsieve.models import boosting, gradient, kernels, logistic, naive_bayes, neighbours, perceptron
 from gainsieve.models import classifiers as C
 from gainsieve.models.evaluation import evaluate_vectors
 from gainsieve.operators.folds import FoldedTable, folded_table
@@ -98,6 +98,13 @@ def q_ada_boost_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(out, "fold int, round int, feature int, threshold double, below int, above int, weight double"), "threshold", "weight")
 
 
+def q_mlp_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the perceptron of every fold stopped ten rounds after its best, before the last round allowed."""
+    fits = perceptron.fit_folds(_folds(spark, sf_dir))
+    out = [(f, fit.waited == perceptron.PATIENCE, fit.rounds < perceptron.MOST_ROUNDS) for f, fit in fits.items()]
+    return spark.createDataFrame(out, "fold int, waited boolean, early boolean")
+
+
 def _above_majority(predicted: DataFrame) -> DataFrame:
     """Fold sizes, the share of the fold's commonest label, and whether the accuracy is above it."""
     hit = F.avg((F.col("prediction") == F.col("label_index")).cast("int"))
@@ -183,6 +190,7 @@ QUERIES = {
     "gradient_boosting_first_round": q_gradient_first_round,
     "ada_boost_cv": _beats_majority(C.ada_boost()),
     "ada_boost_stumps": q_ada_boost_stumps,
+    "mlp_stopping": q_mlp_stopping,
     "mlp_cv": _beats_majority(C.perceptron()),
     "logistic_regression_cv": _accuracies(C.logistic_regression()),
     "logistic_regression_weights": q_logistic_weights,
@@ -393,6 +401,7 @@ ORACLES = {
     "knn_predictions": f"{KNN} SELECT * FROM predicted",
     "knn_cv": f"{KNN} {BY_FOLD}",
     "ada_boost_stumps": STUMPS,
+    "mlp_stopping": f"WITH {FOLDED} SELECT DISTINCT CAST(fold AS INTEGER) AS fold, TRUE AS waited, TRUE AS early FROM placed",
     "logistic_regression_cv": f"{LOGISTIC} {BY_FOLD}",
     "logistic_regression_weights": WEIGHTS,
     "svm_rbf_optimality": OPTIMALITY,

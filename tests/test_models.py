@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gainsieve.models import classifiers as C
-from gainsieve.models import kernels, logistic, naive_bayes, neighbours
+from gainsieve.models import kernels, logistic, naive_bayes, neighbours, perceptron
 from gainsieve.models.boosting import Stump, boosted_prediction, fit_boosted_folds, fit_boosted_stumps
 from gainsieve.models.evaluation import evaluate
 from gainsieve.operators.folds import folded_table
@@ -168,6 +168,43 @@ def test_logistic_regression_reaches_the_optimum(table, classes):
         assert all(predicted[i] == guess[i] for i in np.flatnonzero(~train))
 
 
+def test_perceptron_gradients():
+    dice = np.random.default_rng(2)
+    x, y = dice.normal(size=(9, 3)), dice.integers(0, 3, 9)
+    weights = perceptron.starting_weights([3, 5, 4, 3], 1)
+
+    def loss(weights):
+        z = perceptron._layers(weights, x)[-1]
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(9), y]).sum()
+
+    for layer, pair in enumerate(perceptron.gradients(weights, x, y)):
+        for part, found in enumerate(pair):
+            for at in np.ndindex(found.shape):
+                sides = []
+                for step in (1e-6, -1e-6):
+                    moved = [[w.copy() for w in p] for p in weights]
+                    moved[layer][part][at] += step
+                    sides.append(loss(moved))
+                assert found[at] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-4)
+
+
+@pytest.mark.parametrize("task_rows", [1, 10_000])
+def test_perceptron_stops_early(table, task_rows):
+    """Ten rounds after the best one, or at the last; the weights kept are those of the best."""
+    x, y, folds = arrays(table)
+    fits = perceptron.fit_folds(table, (16,), task_rows)
+    predicted = by_key(perceptron.perceptron((16,), task_rows)(table))
+    judges = {r["row_key"]: r["judges"] for r in perceptron._rows(table).collect()}
+    judging = np.array([judges[i] for i in range(len(x))])
+    assert 5 < judging.sum() < 30
+    for f, fit in fits.items():
+        assert fit.waited == perceptron.PATIENCE or fit.rounds == perceptron.MOST_ROUNDS
+        some = judging & (folds != f)
+        assert fit.accuracy == pytest.approx((perceptron.guesses(fit.best, x[some]) == y[some]).mean())
+        assert all(predicted[i] == g for i, g in zip(np.flatnonzero(folds == f), perceptron.guesses(fit.best, x[folds == f])))
+    assert np.mean([predicted[i] == y[i] for i in range(len(x))]) > 0.8
+
+
 def boosted_by_hand(x, y, thresholds, rounds):
     """SAMME with the stump that leaves the least weighted Gini impurity."""
     weight, votes = np.ones(len(y)), np.zeros((len(y), 2))
@@ -244,7 +281,7 @@ QUICK = {
     "Naive Bayes": naive_bayes.predict_folds,
     "SVM RBF": C.kernel_svm("rbf"),
     "SVM Poly": C.kernel_svm("poly"),
-    "MLP": C.perceptron(hidden=(8,), iterations=60),
+    "MLP": C.perceptron(hidden=(20,)),
     "Logistic Regression": C.logistic_regression(),
 }
 
