@@ -1,17 +1,18 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
-
-Counting: every task counts its word pairs and deals the packed counts to buckets of the
-pair's hash; a bucket adds them up, writes its pairs as a sorted array of hashes with counts,
-and passes on what the pairs say of their words; buckets of words add that up and write
-sorted arrays of word hashes with counts. No bucket depends on how frequent a word or pair
-is, since each task sends one count of it. Scoring maps the arrays of the shared folder
-and looks up sorted hashes.
+"""An interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by workers.
+
+Counting goes down the orders. Every task counts its n-grams and deals the packed counts to buckets
+of the n-gram's hash; a bucket adds them up, writes a sorted array of hashes with counts, and
+passes on what its n-grams say of the shorter ones: of the one without the first word, that
+one more word stands before it; of the one without the last, how often and by how many words it
+is followed. Those go to buckets of their own hash, down to the words. No bucket depends on
+how frequent a word or n-gram is, since each task sends one count of it. Scoring maps the
+arrays of the shared folder and looks up sorted hashes.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gainsieve.llm.packed import bucket_of, pack, runs_of, summed, unpack
+from gainsieve.llm.packed import bucket_of, pack, runs_of, unpack
 from gainsieve.llm.words import mixed, word_hashes
 from gainsieve.session import scratch_path
 
@@ -29,7 +30,7 @@ WORD_SHIFT = _U64(8)
 START, END = _U64(1), _U64(2)
 #: Text bytes for each bucket, and pairs that a task counts before it sends them.
 BUCKET_BYTES, HELD_PAIRS = 1 << 23, 2_000_000
-_ALL = np.uint32(255)
+_ALL = 255
 
 
 def text_tokens(hashes: np.ndarray) -> np.ndarray:
@@ -41,22 +42,56 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(u * _U64(0x9E3779B97F4A7C15) + w * _U64(0xD6E8FEB86659FD93) + _U64(0x2545F4914F6CDD1D))
 
 
-# ---- packed pairs ---------------------------------------------------------------------
+# ---- packed n-grams -------------------------------------------------------------------
 
 
-def _pack_pairs(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs sorted by ``u``, which is kept once for each run."""
-    order = np.argsort(u, kind="stable")
-    u, w, n = u[order], w[order], n[order]
-    firsts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-    head, rows = pack(u[firsts], np.diff(np.append(firsts, len(u)))), pack(w, n)
+def gram_hashes(tokens: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the first 1, 2, ... words of n-grams given as columns; that of one word is the word."""
+    found = [tokens[0]]
+    for w in tokens[1:]:
+        found.append(pair_hash(found[-1], w))
+    return found
+
+
+def _firsts(columns: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _pack_grams(tokens: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """N-grams sorted by all words but the last, which are kept once for each run."""
+    if len(tokens) == 1:
+        return pack(*tokens, *values)
+    order = np.lexsort(tokens[-2::-1])
+    tokens, values = [t[order] for t in tokens], [v[order] for v in values]
+    firsts = _firsts(tokens[:-1])
+    head, rows = pack(*(t[firsts] for t in tokens[:-1]), np.diff(np.append(firsts, len(order)))), pack(tokens[-1], *values)
     return len(head).to_bytes(8, "little") + head + rows
 
 
-def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_grams(blob: bytes, words: int, values: int) -> list[np.ndarray]:
+    """Columns of words, then of values."""
+    if words == 1:
+        return unpack(blob, 1 + values)
     size = int.from_bytes(blob[:8], "little")
-    (u, runs), (w, n) = unpack(blob[8 : 8 + size], 2), unpack(blob[8 + size :], 2)
-    return np.repeat(u, runs.astype(np.int64)), w, n
+    *heads, runs = unpack(blob[8 : 8 + size], words)
+    return [*(np.repeat(h, runs.astype(np.int64)) for h in heads), *unpack(blob[8 + size :], 1 + values)]
+
+
+def _added(tokens: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted hashes of the different n-grams, their words, and the sums of their values."""
+    hashes = gram_hashes(tokens)[-1]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    firsts = _firsts([hashes]) if len(hashes) else np.empty(0, np.int64)
+    return hashes[firsts], [t[order[firsts]] for t in tokens], [np.add.reduceat(v[order], firsts).astype(np.int64) if len(firsts) else v.astype(np.int64) for v in values]
+
+
+def _width(words: int) -> int:
+    """Bits of the hashes of n-grams of so many words."""
+    return 56 if words == 1 else 64
 
 
 # ---- sorted arrays in files ------------------------------------------------------------
@@ -86,8 +121,15 @@ def _mapped(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return arrays
 
 
-PAIR_KINDS = ("<u8", "<u8", "<u8", "u1")  # hashes and counts of the frequent, then of the others
-WORD_KINDS = ("<u8", "<u8", "<u4", "<u4", "<u4", "<u4")  # hash, count, contexts, followers seen 1, 2, 3+ times
+#: What is known of an n-gram shorter than the longest: tokens (of words), different words before it, how
+#: often it is followed (counted as its followers are), and by how many words seen 1, 2, 3+ times.
+KNOWN = 6
+
+
+def _write_grams(folder: str, words: int, bucket: int, hashes: np.ndarray, values: list[np.ndarray]) -> None:
+    """Those with small values by a byte each, the others by eight."""
+    small = np.logical_and.reduce([v < _ALL for v in values])
+    _write(f"{folder}/grams-{words}-{bucket}", [hashes[small], *(v[small].astype("u1") for v in values), hashes[~small], *(v[~small].astype("<u8") for v in values)])
 
 
 @dataclass
@@ -96,61 +138,58 @@ class Model:
 
     folder: str
     bits: int
+    order: int = 2
     tokens: int = 0
     vocabulary: int = 0
     contexts: int = 0
-    texts: int = 0
-    pair_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    word_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
+    #: Of n-grams of 1, 2, ... words.
+    discounts: list[tuple[float, float, float]] = field(default_factory=list)
     word_rest: float = 1.0
-    totals: list[int] = field(default_factory=list)
-
-    def pair_counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Training counts of sorted pair hashes."""
-        out = np.zeros(len(hashes), np.int64)
-        for b, rows in runs_of(bucket_of(hashes, self.bits, 64)):
-            often, often_n, rare, rare_n = _mapped(f"{self.folder}/pairs-{b}", PAIR_KINDS)
-            for known, n in ((rare, rare_n), (often, often_n)):
-                at, hit = _find(known, hashes[rows])
-                out[rows][hit] = n[at[hit]]
-        return out
 
-    def words(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """Count, contexts and followers seen 1, 2, 3+ times of sorted word hashes."""
-        out = [np.zeros(len(hashes), np.int64) for _ in WORD_KINDS[1:]]
-        for b, rows in runs_of(bucket_of(hashes, self.bits, 56)):
-            known, *values = _mapped(f"{self.folder}/words-{b}", WORD_KINDS)
-            at, hit = _find(known, hashes[rows])
-            for o, v in zip(out, values, strict=True):
-                o[rows][hit] = v[at[hit]]
+    def known(self, words: int, hashes: np.ndarray) -> list[np.ndarray]:
+        """The values of n-grams by sorted hashes; of the longest, their count alone."""
+        values = 1 if words == self.order else KNOWN
+        out = [np.zeros(len(hashes), np.int64) for _ in range(values)]
+        kinds = ("<u8", *["u1"] * values, "<u8", *["<u8"] * values)
+        for b, rows in runs_of(bucket_of(hashes, self.bits, _width(words))):
+            arrays = _mapped(f"{self.folder}/grams-{words}-{b}", kinds)
+            for own in (arrays[: 1 + values], arrays[1 + values :]):
+                at, hit = _find(own[0], hashes[rows])
+                for o, v in zip(out, own[1:], strict=True):
+                    o[rows][hit] = v[at[hit]]
         return out
 
     def score(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float]]:
         """``n_tokens, n_known, base_score, score`` of texts given as token hashes."""
+        before = self.order - 1
         lengths = [len(t) for t in texts]
-        w = np.concatenate(texts)
-        firsts = np.cumsum([0, *lengths[:-1]])
-        u = np.append(START, w[:-1])
-        u[firsts] = START
-        known, at = np.unique(np.append(w, START), return_inverse=True)
-        count, contexts, *followers = self.words(known)
+        whole = np.concatenate([part for t in texts for part in (np.full(before, START), t)])
+        # Where the tokens are in the texts with what stands before them.
+        at = np.arange(sum(lengths)) + before * np.repeat(np.arange(1, len(texts) + 1), lengths)
+
+        def look(words: int, places: np.ndarray) -> list[np.ndarray]:
+            """Values of the n-grams of ``words`` words that end at ``places``."""
+            hashes = gram_hashes([whole[places - i] for i in range(words - 1, -1, -1)])[-1]
+            different, back = np.unique(hashes, return_inverse=True)
+            return [v[back] for v in self.known(words, different)]
+
+        count, contexts, *_ = look(1, at)
         base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
-        d = np.array((0.0, *self.word_discounts))
-        p_word = np.maximum(contexts - d[np.minimum(contexts, 3)], 0) / max(self.contexts, 1) + self.word_rest / (self.vocabulary + 1)
-        total = np.where(known == START, self.texts, count)
-        rest = sum(x * f for x, f in zip(self.pair_discounts, followers, strict=True)) / np.maximum(total, 1)
-        rest = np.where(total > 0, rest, 1.0)
-        at_w = at[:-1]
-        at_u = np.append(at[-1], at_w[:-1])
-        at_u[firsts] = at[-1]
-        hashes, back = np.unique(pair_hash(u, w), return_inverse=True)
-        n = self.pair_counts(hashes)[back]
-        d = np.array((0.0, *self.pair_discounts))
-        p = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total[at_u], 1) + rest[at_u] * p_word[at_w]
+        d = np.array((0.0, *self.discounts[0]))
+        p = np.maximum(contexts - d[np.minimum(contexts, 3)], 0) / max(self.contexts, 1) + self.word_rest / (self.vocabulary + 1)
+        for words in range(2, self.order + 1):
+            found = look(words, at)
+            n = found[0] if words == self.order else found[1]
+            _, _, total, *followers = look(words - 1, at - 1)
+            d = np.array((0.0, *self.discounts[words - 1]))
+            rest = sum(x * f for x, f in zip(self.discounts[words - 1], followers, strict=True)) / np.maximum(total, 1)
+            p = np.where(total > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + rest * p, p)
         logs = np.log10(p)
-        for first, length in zip(firsts.tolist(), lengths, strict=True):
+        first = 0
+        for length in lengths:
             part = slice(first, first + length)
-            yield length, int((count[at_w[part]] > 0).sum()), float(base[at_w[part]].sum()), float(logs[part].sum())
+            yield length, int((count[part] > 0).sum()), float(base[part].sum()), float(logs[part].sum())
+            first += length
 
 
 def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +224,13 @@ def _shared(path: str) -> str:
     raise ValueError(f"{path}: arrays can only be memory-mapped in a folder that is mounted on all workers; set spark.checkpoint.dir to one")
 
 
-def train(df: DataFrame, text: str = "text") -> Model:
-    """The model of all texts of ``df``. A null or empty text is the end alone; repeated rows count again."""
+def train(df: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """The model of all texts of ``df``, of n-grams of up to ``order`` words, 2 at least.
+
+    A null or empty text is the end alone; repeated rows count again.
+    """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
@@ -194,65 +238,63 @@ def train(df: DataFrame, text: str = "text") -> Model:
     folder = _shared(scratch_path(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
 
+    def dealt(hashes: np.ndarray, tokens: list[np.ndarray], values: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        """Buckets, and the n-grams of each; ``hashes`` are sorted."""
+        parts = [(b, _pack_grams([t[r] for t in tokens], [v[r] for v in values])) for b, r in runs_of(bucket_of(hashes, bits, _width(len(tokens))))]
+        return pa.array([b for b, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, ws, held = [], [], 0
+        held: list[list[np.ndarray]] = []
 
         def send() -> pa.RecordBatch:
-            u, w = np.concatenate(us), np.concatenate(ws)
-            hashes = pair_hash(u, w)
-            order = np.argsort(hashes)
-            hashes = hashes[order]
-            firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-            n = np.diff(np.append(firsts, len(hashes)))
-            u, w, hashes = u[order[firsts]], w[order[firsts]], hashes[firsts]
-            out = [(b, _pack_pairs(u[r], w[r], n[r])) for b, r in runs_of(bucket_of(hashes, bits, 64))]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "data"])
+            tokens = [np.concatenate(c) for c in zip(*held, strict=True)]
+            bucket, data = dealt(*_added(tokens, [np.ones(len(tokens[0]), np.int64)]))
+            return pa.RecordBatch.from_arrays([bucket, data, pa.nulls(len(bucket), pa.list_(pa.int64()))], names=["bucket", "data", "seen"])
 
         for tokens in _tokens(batches):
-            us.append(np.append(START, tokens[:-1]))
-            ws.append(tokens)
-            held += len(tokens)
-            if held >= HELD_PAIRS:
+            padded = np.append(np.full(order - 1, START), tokens)
+            held.append([padded[i : len(padded) - order + 1 + i] for i in range(order)])
+            if sum(len(h[0]) for h in held) >= HELD_PAIRS:
                 yield send()
-                us, ws, held = [], [], 0
+                held = []
         if held:
             yield send()
 
-    def add_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        u, w, n = (np.concatenate(x) for x in zip(*(_unpack_pairs(b) for b in group["data"].to_pylist()), strict=True))
-        hashes = pair_hash(u, w)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        n = np.add.reduceat(n[order], firsts).astype(np.int64)
-        hashes, u, w = hashes[firsts], u[order[firsts]], w[order[firsts]]
-        often = n >= _ALL
-        _write(f"{folder}/pairs-{key[0].as_py()}", [hashes[often], n[often].astype("<u8"), hashes[~often], n[~often].astype("u1")])
-        one = np.ones(len(n), np.int64)
-        zero = np.zeros(len(n), np.int64)
-        word, values = summed(np.concatenate([w, u]), [np.concatenate(x) for x in ((n, zero), (one, zero), (zero, n == 1), (zero, n == 2), (zero, n >= 3))])
-        out = [(b, pack(word[r], *(v[r] for v in values))) for b, r in runs_of(bucket_of(word, bits, 56))]
-        seen = [int((n == i).sum()) for i in range(1, 5)]
-        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "data": pa.array([o[1] for o in out], pa.binary()), "seen": pa.array([seen, *([[0] * 4] * (len(out) - 1))], pa.list_(pa.int64()))})
-
-    def add_words(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        word, *values = (np.concatenate(x) for x in zip(*(unpack(b, 6) for b in group["data"].to_pylist()), strict=True))
-        word, values = summed(word, [v.astype(np.int64) for v in values])
-        _write(f"{folder}/words-{key[0].as_py()}", [word, values[0].astype("<u8"), *(v.astype("<u4") for v in values[1:])])
-        counts, contexts = values[0], values[1]
-        seen = np.array(group["seen"].to_pylist(), np.int64).sum(axis=0)
-        end = int(counts[word == END].sum())
-        numbers = [int(counts.sum()), int((counts > 0).sum()), int(contexts.sum()), end, *seen.tolist(), *(int((contexts == i).sum()) for i in range(1, 5)), int((contexts >= 3).sum())]
-        return pa.table({"numbers": pa.array([numbers], pa.list_(pa.int64()))})
-
-    pairs = rows.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(add_pairs, "bucket int, data binary, seen array<long>")
-    words = pairs.groupBy("bucket").applyInArrow(add_words, "numbers array<long>")
-    totals = words.agg(*(F.sum(F.col("numbers")[i]) for i in range(13))).first()
-    tokens, vocabulary, contexts, texts, *rest = [int(t or 0) for t in totals]
-    model = Model(folder, bits, tokens, vocabulary, contexts, texts, discounts(rest[:4]), discounts(rest[4:8]), totals=rest)
-    m1, m2, m3 = rest[4], rest[5], rest[8]
+    def add(words: int) -> Callable:
+        """Adds up the n-grams of ``words`` words of a bucket, writes them and passes on what they say of shorter ones."""
+
+        def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            values = 1 if words == order else KNOWN
+            columns = [np.concatenate(c) for c in zip(*(_unpack_grams(b, words, values) for b in group["data"].to_pylist()), strict=True)]
+            hashes, tokens, sums = _added(columns[:words], columns[words:])
+            _write_grams(folder, words, key[0].as_py(), hashes, sums)
+            raw, n = (sums[0], sums[0]) if words == order else sums[:2]
+            seen = np.sum([s for s in group["seen"].to_pylist() if s is not None] or [[0] * 4 * (order - words)], axis=0).astype(np.int64).tolist()
+            seen += [int((n == i).sum()) for i in range(1, 5)]
+            if words == 1:
+                numbers = [int(raw.sum()), int((raw > 0).sum()), int(n.sum()), int((n >= 3).sum())]
+                return pa.table({"numbers": pa.array([numbers + seen], pa.list_(pa.int64()))})
+            some = n > 0  # others are known as contexts only
+            tokens, raw, n = [t[some] for t in tokens], raw[some], n[some]
+            one, zero = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+            shorter = [np.concatenate([a, b]) for a, b in zip(tokens[1:], tokens[:-1], strict=True)]
+            facts = [(raw, zero), (one, zero), (zero, n), (zero, n == 1), (zero, n == 2), (zero, n >= 3)]
+            bucket, data = dealt(*_added(shorter, [np.concatenate(f).astype(np.int64) for f in facts]))
+            nothing = [0] * len(seen)
+            return pa.table({"bucket": bucket, "data": data, "seen": pa.array([seen, *[nothing] * (len(bucket) - 1)][: len(bucket)], pa.list_(pa.int64()))})
+
+        return run
+
+    passed = "bucket int, data binary, seen array<long>"
+    grams = rows.mapInArrow(count, passed)
+    for words in range(order, 0, -1):
+        grams = grams.groupBy("bucket").applyInArrow(add(words), passed if words > 1 else "numbers array<long>")
+    totals = [int(t or 0) for t in grams.agg(*(F.sum(F.col("numbers")[i]) for i in range(4 + 4 * order))).first()]
+    tokens, vocabulary, contexts, m3 = totals[:4]
+    seen = [totals[4 + 4 * i : 8 + 4 * i] for i in range(order)]  # of the longest first
+    model = Model(folder, bits, order, tokens, vocabulary, contexts, [discounts(s) for s in reversed(seen)])
     if contexts:
-        model.word_rest = sum(d * m for d, m in zip(model.word_discounts, (m1, m2, m3), strict=True)) / contexts
+        model.word_rest = sum(d * m for d, m in zip(model.discounts[0], (*seen[-1][:2], m3), strict=True)) / contexts
     return model
 
 

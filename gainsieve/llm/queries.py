@@ -24,6 +24,7 @@ from gainsieve.llm.vector_links import near_vectors
 
 TOXIC_FROM = 0.3
 SHARDS = 8
+LANGUAGE_MODEL_ORDER = 3
 
 
 def op1_quality(spark, sf_dir):
@@ -92,7 +93,7 @@ def op9_byte_bpe(spark, sf_dir):
 def op10_language_model(spark, sf_dir):
     """Kneser-Ney scores of all documents, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs.where(fold_of("doc_id", 7) != 2))
+    model = kneser_ney.train(docs.where(fold_of("doc_id", 7) != 2), order=LANGUAGE_MODEL_ORDER)
     scores = kneser_ney.score(docs, model, "doc_id")
     return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

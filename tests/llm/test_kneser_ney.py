@@ -32,69 +32,87 @@ def test_hashes_tell_words_apart(documents, monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
-def plain_model(texts):
-    pairs, tokens = Counter(), Counter()
+def plain_model(texts, order=2):
+    """Token counts, and the probability of a word after a tuple of words, by the recursion over orders."""
+    counts, tokens = [Counter() for _ in range(order)], Counter()
     for t in texts:
         ts = plain_tokens(t)
         tokens.update(ts)
-        pairs.update(zip([None, *ts], ts))
-    contexts = Counter(w for _, w in pairs)
-    d = kneser_ney.discounts([sum(n == i for n in pairs.values()) for i in range(1, 5)])
-    e = kneser_ney.discounts([sum(n == i for n in contexts.values()) for i in range(1, 5)])
-    rest = sum(e[min(n, 3) - 1] for n in contexts.values()) / len(pairs)
-    follow, total = Counter(), Counter()
-    for (u, _), n in pairs.items():
-        follow[u] += d[min(n, 3) - 1]
-        total[u] += n
-
-    def word(w):
-        n = contexts[w]
-        return (n - e[min(n, 3) - 1] if n else 0) / len(pairs) + rest / (len(tokens) + 1)
-
-    def pair(u, w):
-        if not total[u]:
-            return word(w)
-        n = pairs[u, w]
-        return (n - d[min(n, 3) - 1] if n else 0) / total[u] + follow[u] / total[u] * word(w)
-
-    return tokens, pair, word
-
-
-@pytest.mark.parametrize("bucket_bytes", [1 << 14, 1 << 30])
-def test_model(spark, frame, documents, bucket_bytes, monkeypatch):
+        padded = [None] * (order - 1) + ts
+        counts[-1].update(tuple(padded[i : i + order]) for i in range(len(ts)))
+    for m in range(order - 1, 0, -1):
+        counts[m - 1] = Counter(g[1:] for g in counts[m])
+    d = [kneser_ney.discounts([sum(n == i for n in c.values()) for i in range(1, 5)]) for c in counts]
+    total = [Counter() for _ in range(order)]
+    follow = [Counter() for _ in range(order)]
+    for m, c in enumerate(counts):
+        for g, n in c.items():
+            total[m][g[:-1]] += n
+            follow[m][g[:-1]] += d[m][min(n, 3) - 1]
+
+    def probability(before, w):
+        if not before:
+            n = counts[0][w,]
+            whole = sum(counts[0].values())
+            return (n - d[0][min(n, 3) - 1] if n else 0) / whole + follow[0][()] / whole / (len(tokens) + 1)
+        m, before = len(before), tuple(before)
+        shorter = probability(before[1:], w)
+        if not total[m][before]:
+            return shorter
+        n = counts[m][(*before, w)]
+        return (n - d[m][min(n, 3) - 1] if n else 0) / total[m][before] + follow[m][before] / total[m][before] * shorter
+
+    return tokens, probability
+
+
+def plain_score(probability, text, order):
+    ts = plain_tokens(text)
+    padded = [None] * (order - 1) + ts
+    return sum(math.log10(probability(padded[i : i + order - 1], w)) for i, w in enumerate(ts))
+
+
+@pytest.mark.parametrize(("bucket_bytes", "order"), [(1 << 14, 2), (1 << 30, 2), (1 << 14, 3), (1 << 30, 4)])
+def test_model(spark, frame, documents, bucket_bytes, order, monkeypatch):
     monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", bucket_bytes)
     held = {r["doc_id"] for r in frame.where(fold_of("doc_id", 7) == 2).select("doc_id").collect()}
-    tokens, pair, word = plain_model([t for k, t in documents if k not in held])
-    model = kneser_ney.train(frame.where(fold_of("doc_id", 7) != 2))
+    tokens, probability = plain_model([t for k, t in documents if k not in held], order)
+    model = kneser_ney.train(frame.where(fold_of("doc_id", 7) != 2), order=order)
     assert (model.tokens, model.vocabulary) == (sum(tokens.values()), len(tokens))
-    assert sum(word(w) for w in [*tokens, "new"]) == pytest.approx(1)
-    assert sum(pair(b"the", w) for w in [*tokens, "new"]) == pytest.approx(1)
+    for before in ([], [b"the"], [b"of", b"the"], [None, None])[:order]:
+        assert sum(probability(before, w) for w in [*tokens, "new"]) == pytest.approx(1)
     got = sorted(tuple(r) for r in kneser_ney.score(frame, model, "doc_id").collect())
     expected = []
     for key, text in documents:
         ts = plain_tokens(text)
         base = sum(math.log10((tokens[t] + 1) / (sum(tokens.values()) + len(tokens) + 1)) for t in ts)
-        expected.append((key, len(ts), sum(tokens[t] > 0 for t in ts), base, sum(math.log10(pair(u, w)) for u, w in zip([None, *ts], ts))))
+        expected.append((key, len(ts), sum(tokens[t] > 0 for t in ts), base, plain_score(probability, text, order)))
     for a, b in zip(got, sorted(expected), strict=True):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
 
 
-def test_large_counts(spark, documents):
+@pytest.mark.parametrize("order", [2, 3])
+def test_large_counts(spark, documents, order):
     texts = ["a b"] * 700 + ["b a c"] * 2 + [t for _, t in documents[:20]]
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    _, pair, _ = plain_model(texts)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=order)
+    _, probability = plain_model(texts, order)
     rows = kneser_ney.score(spark.createDataFrame([(1, "a b"), (2, "zz a")], "k long, text string"), model, "k").collect()
-    assert {r["k"]: r["score"] for r in rows} == pytest.approx({1: sum(math.log10(pair(*p)) for p in [(None, b"a"), (b"a", b"b"), (b"b", 0)]), 2: sum(math.log10(pair(*p)) for p in [(None, b"zz"), (b"zz", b"a"), (b"a", 0)])})
-    empty = kneser_ney.train(spark.createDataFrame([], "text string"))
+    assert {r["k"]: r["score"] for r in rows} == pytest.approx({1: plain_score(probability, "a b", order), 2: plain_score(probability, "zz a", order)})
+    empty = kneser_ney.train(spark.createDataFrame([], "text string"), order=order)
     assert kneser_ney.score(spark.createDataFrame([(1, "a")], "k long, text string"), empty, "k").first()["score"] == 0
     assert kneser_ney.score(spark.createDataFrame([], "k long, text string"), model, "k").count() == 0
 
 
-def test_packing():
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_packing(words):
     dice = np.random.default_rng(1)
-    u, w = dice.integers(0, 1 << 56, 500).astype(np.uint64), dice.integers(0, 1 << 56, 500).astype(np.uint64)
-    got = kneser_ney._unpack_pairs(kneser_ney._pack_pairs(u, w, np.arange(500)))
-    assert Counter(zip(*(x.tolist() for x in got))) == Counter(zip(u.tolist(), w.tolist(), range(500)))
+    tokens = [dice.integers(0, 9 if i < words - 1 else 1 << 56, 500).astype(np.uint64) for i in range(words)]
+    got = kneser_ney._unpack_grams(kneser_ney._pack_grams(tokens, [np.arange(500), np.arange(500) * 7]), words, 2)
+    assert Counter(zip(*(x.tolist() for x in got))) == Counter(zip(*(t.tolist() for t in tokens), range(500), range(0, 3500, 7)))
+
+
+def test_shared_folder():
     with pytest.raises(ValueError):
         kneser_ney._shared("hdfs://host/x")
     assert kneser_ney._shared("file:///a/b") == kneser_ney._shared("file:/a/b") == "/a/b"
+    with pytest.raises(ValueError, match="order"):
+        kneser_ney.train(None, order=1)
