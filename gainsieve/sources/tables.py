@@ -7,10 +7,11 @@ from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F, types as T
 
 from gainsieve.functions.text import numeric_target, stripped, text_to_double
 from gainsieve.functions.vectors import feature_names
+from gainsieve.sources.quoted import read_records
 
 # Header names that mark the target column, whatever their case.
 TARGET_NAMES = ("label", "class", "avclass", "target")
@@ -87,14 +88,33 @@ class CellTable:
     columns: list[str]
 
 
-def read_cells(spark: SparkSession, path: str, sep: str = ",") -> CellTable:
+def _records_as_cells(spark: SparkSession, path: str, sep: str) -> CellTable:
+    """Records that may span lines; the first of each file is its header."""
+    records = read_records(spark, path)
+    first = Window.partitionBy("file").orderBy("block", "seq")
+    heads = records.where("block = 0").withColumn("_nr", F.row_number().over(first)).where("_nr = 1").select("file", "seq", "record")
+    texts = [r["record"] for r in heads.select("record").distinct().limit(2).collect()]
+    if len(texts) != 1:
+        raise ValueError(f"no header in {path}" if not texts else f"the files of {path} have different headers: {texts}")
+    names = [cell.strip() for cell in spark.range(1).select(split_cells(F.lit(texts[0]), sep)).collect()[0][0]]
+    reject_duplicates(names)
+    # The header is the first record of the split at 0, of which no other has its number.
+    rows = records.where((F.col("block") != 0) | (F.col("seq") != 0))
+    cells = F.slice(split_cells(F.col("record"), sep), 1, len(names))
+    return CellTable(rows.select(cells.alias("cells")), names)
+
+
+def read_cells(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> CellTable:
     """A CSV file, folder or glob with one header per file.
 
     Every file must have the same header line, else the read fails. Cells past the
     header are dropped, missing ones at the end of a line are left out. Rows are lines, so
-    large files are read in splits; a quoted cell that spans lines fails the read, see
-    ``read_table`` with ``multi_line``.
+    large files are read in splits; a quoted cell that spans lines fails the read. With
+    ``multi_line`` it does not: files are then read twice, still in splits, and every quote must
+    stand in a quoted cell.
     """
+    if multi_line:
+        return _records_as_cells(spark, path, sep)
     text, names = _header(spark, path, sep)
     lines = (
         _line_reader(spark)
@@ -113,15 +133,9 @@ def read_cells(spark: SparkSession, path: str, sep: str = ",") -> CellTable:
 def read_table(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """The same as one text column per name, cells trimmed and empty ones null.
 
-    With ``multi_line`` quoted cells may span lines; each file is then read by one task.
+    With ``multi_line`` quoted cells may span lines, as in ``read_cells``.
     """
-    if multi_line:
-        rows = spark.read.options(header=True, sep=sep, escape=QUOTE, multiLine=True).csv(path)
-        names = [name.strip() for name in rows.columns]
-        reject_duplicates(names)
-        cells = [stripped(F.col(f"`{c}`")) for c in rows.columns]
-        return rows.select(*[F.when(c != "", c).alias(name) for c, name in zip(cells, names)])
-    table = read_cells(spark, path, sep)
+    table = read_cells(spark, path, sep, multi_line)
     cells = [stripped(F.get("cells", F.lit(i))) for i in range(len(table.columns))]
     return table.df.select(*[F.when(c != "", c).alias(name) for c, name in zip(cells, table.columns)])
 
