@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from gainsieve.models import classifiers as C
@@ -130,6 +131,27 @@ def test_kernel_machines_reach_the_optimum(spark, table, kernel, monkeypatch):
         assert r["violation"] <= 1e-5 and 0 <= r["primal"] - r["dual"] < 1e-2 * r["dual"]
 
 
+def test_kernel_machines_are_solved_by_tasks(spark, table, monkeypatch):
+    """No working set is solved on the driver, and no kernel value is worked out twice for a change."""
+    solve, rounds = kernels.solve_working_set, []
+
+    def inside_a_task(*given):
+        assert TaskContext.get() is not None, "solved on the driver"
+        return solve(*given)
+
+    monkeypatch.setattr(kernels, "solve_working_set", inside_a_task)
+    state = kernels._updated
+    monkeypatch.setattr(kernels, "_updated", lambda rows, width, machines, kernel: rounds.append(max(len(m.pending) for m in machines)) or state(rows, width, machines, kernel))
+    assert kernels.fit_folds(table, "poly", working=64).rounds > 2
+    assert max(rounds) == 1
+
+
+def test_polynomial_kernel_is_the_power():
+    x = np.random.default_rng(1).normal(size=(5, 3))
+    for degree in (1, 3):
+        assert kernels.polynomial_kernel(0.3, degree)(x, x[:2]) == pytest.approx((0.3 * (x @ x[:2].T)) ** degree)
+
+
 def test_kernel_machines_with_three_classes(spark):
     dice = np.random.default_rng(4)
     x = dice.normal(size=(120, 2))
