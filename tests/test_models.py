@@ -84,6 +84,17 @@ def test_neighbours_with_copies(spark):
     assert best == [(0.0, k) for k in [k for k in range(0, 60, 3) if fold[k] != fold[30]][:5]]
 
 
+def test_neighbours_come_once_from_a_group_of_parts(spark, monkeypatch):
+    """In 30 random dimensions every part is visited, but a row is answered by groups of them."""
+    x = np.random.default_rng(2).normal(size=(400, 30))
+    table = folded_table(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "key long, features array<double>, label int"), "key")
+    compared, outputs = neighbours._compared, []
+    monkeypatch.setattr(neighbours, "_compared", lambda *given: outputs.append(compared(*given)) or outputs[-1])
+    found, _ = neighbours.search(replace(table, df=table.df.cache()), cell_rows=20)
+    assert found.count() == 400
+    assert outputs[1].where("compared IS NULL").count() <= 400 * 5 * neighbours.FEWEST_GROUPS
+
+
 def test_neighbours_prune(spark):
     """On clustered rows far fewer distances than all pairs are worked out, and none is missed."""
     dice = np.random.default_rng(1)
