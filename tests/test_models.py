@@ -157,6 +157,21 @@ def test_kernel_machines_are_solved_by_tasks(spark, table, monkeypatch):
     assert max(rounds) == 1
 
 
+def test_free_rows_stay_in_the_working_set(table, monkeypatch):
+    """More rows change in a round than violate most: those that were free before are solved along."""
+    solutions, changed = kernels._solutions, []
+
+    def noted(*given):
+        found = solutions(*given)
+        changed.append(max(len(row) for _, row, _, _ in found.values()))
+        return found
+
+    monkeypatch.setattr(kernels, "_solutions", noted)
+    solved = kernels.fit_folds(table, "rbf", working=16)
+    assert all(len(m.free) <= 16 for m in solved.machines)
+    assert 16 < max(changed) <= 32
+
+
 def test_polynomial_kernel_is_the_power():
     x = np.random.default_rng(1).normal(size=(5, 3))
     for degree in (1, 3):
