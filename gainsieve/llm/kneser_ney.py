@@ -151,7 +151,7 @@ def _write(path: str, arrays: list[np.ndarray]) -> None:
 def _mapped(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
     if not os.path.exists(path):
         return [np.empty(0, k) for k in kinds]
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.asarray(np.memmap(path, np.uint8, "r"))  # slices of a plain array are cheaper
     lengths = whole[: 8 * len(kinds)].view("<u8")
     arrays, at = [], 8 * len(kinds)
     for kind, n in zip(kinds, lengths.tolist(), strict=True):
@@ -162,8 +162,8 @@ def _mapped(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def _slot_bits(rows: int, bits: int) -> int:
-    """Leading bits of keys of ``bits`` bits by which an array of so many is opened: 4 to 8 keys have the same."""
-    return min(bits, max(rows.bit_length() - 3, bits - WORD_BITS, 0))
+    """Leading bits of keys of ``bits`` bits by which an array of so many is opened: 2 to 4 keys have the same."""
+    return min(bits, max(rows.bit_length() - 2, bits - WORD_BITS, 0))
 
 
 def _packed_bits(x: np.ndarray, bits: int) -> np.ndarray:
@@ -571,7 +571,7 @@ def score(df: DataFrame, model: Model, key: str, text: str = "text") -> DataFram
             for _, hashes in word_hashes(batch.column(1)):
                 texts.append(text_tokens(hashes))
                 held += len(texts[-1])
-                if held >= HELD_PAIRS // 4:
+                if held >= HELD_PAIRS // 2:
                     out += model.score(texts)
                     texts, held = [], 0
             if texts:

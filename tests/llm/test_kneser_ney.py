@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -116,3 +117,83 @@ def test_shared_folder():
     assert kneser_ney._shared("file:///a/b") == kneser_ney._shared("file:/a/b") == "/a/b"
     with pytest.raises(ValueError, match="order"):
         kneser_ney.train(None, order=1)
+
+
+@pytest.fixture(scope="module")
+def babble():
+    dice = random.Random(7)
+    texts = [" ".join(f"w{min(int(dice.expovariate(0.1)), 40)}" for _ in range(dice.randrange(30))) for _ in range(60)]
+    return [*texts, "", None, "w1 w2 w3 w1 w2 w3", *["w5 w6"] * 20]
+
+
+@pytest.mark.parametrize(("key_bits", "order"), [(64, 3), (8, 2), (8, 3), (8, 4)])
+def test_keys_that_do_not_tell_the_pair(spark, babble, key_bits, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "KEY_BITS", key_bits)
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 1 << 10)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in babble], "text string"), order=order)
+    assert [level.exact for level in model.levels[1:]] == [key_bits == 64] * (order - 1)
+    _, probability = plain_model(babble, order)
+    asked = dict(enumerate([*babble, "w1 unseen w2", "unseen", "w40 w39 w38 w0"]))
+    rows = kneser_ney.score(spark.createDataFrame(list(asked.items()), "k long, text string"), model, "k").collect()
+    assert {r["k"]: r["score"] for r in rows} == pytest.approx({k: plain_score(probability, t, order) for k, t in asked.items()})
+
+
+def test_a_bucket_of_contexts_alone_passes_on_what_was_seen(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 1)
+    texts = ["a", "b", "a c", "d"]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    _, probability = plain_model(texts, 3)
+    rows = kneser_ney.score(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), model, "k").collect()
+    assert {r["k"]: r["score"] for r in rows} == pytest.approx({k: plain_score(probability, t, 3) for k, t in enumerate(texts)})
+
+
+def test_arrays_take_few_bytes(spark):
+    dice = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in dice.integers(0, 3000, 1000)) for _ in range(40)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    size = sum(f.stat().st_size for f in Path(model.folder).iterdir())
+    assert size < 14 * model.tokens  # of 24 when hashes were kept whole
+
+
+def test_shuffled_counts_take_few_bytes():
+    level = kneser_ney.Level(3, bound=1 << 20)
+    dice = np.random.default_rng(4)
+    u, v = (dice.integers(0, 1 << 20, 200_000).astype(np.uint64) for _ in range(2))
+    keys, counts = kneser_ney._times(level.keys(u, v), [], True)
+    blob = kneser_ney._pack_rows(level, keys, counts)
+    assert len(blob) < 4.5 * len(keys)
+    back, sums, _ = kneser_ney._added(level, [blob, blob])
+    assert (back == keys).all() and (sums == 2 * counts[0]).all()
+    assert set(zip(*(x.tolist() for x in level.pairs(back)))) == set(zip(u.tolist(), v.tolist()))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 7, 41, 63, 64])
+def test_spread_is_a_bijection(bits):
+    x = np.arange(1 << min(bits, 12), dtype=np.uint64) * np.uint64(max(1, (1 << bits) // 4096))
+    there = kneser_ney.spread(x, bits)
+    assert len(np.unique(there)) == len(x) and int(there.max()) < 1 << bits
+    assert (kneser_ney.gathered(there, bits) == x).all()
+
+
+@pytest.mark.parametrize(("rows", "bits"), [(0, 40), (1, 56), (5, 64), (3000, 12), (70_000, 35)])
+def test_grams_of_a_bucket(tmp_path, rows, bits):
+    dice = np.random.default_rng(rows)
+    keys = np.unique(dice.integers(0, 1 << bits, rows, np.uint64, False) if bits < 64 else dice.integers(0, 1 << 64, rows, np.uint64))
+    counts = dice.choice([1, 2, 14, 15, 16, 1 << 40], len(keys))
+    kneser_ney.Grams.write(f"{tmp_path}/g", keys, bits, counts, [])
+    grams = kneser_ney.Grams(f"{tmp_path}/g", bits, True)
+    assert (grams.keys() == keys).all()
+    asked = np.append(keys[::-1], dice.integers(0, 1 << min(bits, 63), 500).astype(np.uint64))
+    at, hit = grams.find(asked)
+    known = dict(zip(keys.tolist(), zip(range(len(keys)), counts.tolist())))
+    assert hit.tolist() == [k in known for k in asked.tolist()]
+    assert list(zip(at[hit].tolist(), grams.counts(at[hit]).tolist())) == [known[k] for k in asked[hit].tolist()]
+
+
+def test_facts_of_a_bucket(tmp_path):
+    dice = np.random.default_rng(5)
+    values = [dice.choice([0, 1, 2, 7, 4095, 4096, 1 << 40], 5000) for _ in range(kneser_ney.KNOWN)]
+    kneser_ney.Facts.write(f"{tmp_path}/f", values)
+    places = dice.integers(0, 5000, 9000)
+    for got, expected in zip(kneser_ney.Facts(f"{tmp_path}/f").at(places), values, strict=True):
+        assert (got == expected[places]).all()
