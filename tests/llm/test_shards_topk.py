@@ -106,3 +106,22 @@ def test_rows_without_an_old_shard(spark, tmp_path):
     written = spark.read.parquet(str(tmp_path / "new"))
     assert touched == [0, 1, 2, 3] and written.count() == 21 and set(written.columns) == {"doc_id", "home", "old_shard", "slot", "shard"}
     assert {r[0] for r in written.select("old_shard").collect()} == {"x"}
+
+
+def test_a_block_answers_all_queries_together(monkeypatch):
+    """Queries share the products with a chunk of candidates, and a chunk is scored only where its bound reaches a query's k-th score."""
+    dice = np.random.default_rng(4)
+    x = dice.integers(-40, 40, (4000, 8)) + 3000 * np.repeat(np.eye(8, dtype=np.int64), 500, axis=0)
+    bound = float((x.astype(float) ** 2).sum(axis=1).max())
+    pivots = topk.choose_pivots(x[::7], bound)
+    far = topk._distances(topk._augmented(x, bound), pivots)
+    merges = []
+    k_best = topk._k_best
+    monkeypatch.setattr(topk, "_k_best", lambda *given: merges.append(1) or k_best(*given))
+    asked = np.arange(0, 4000, 8)
+    ids, rows = np.arange(4000) % 1300, np.arange(4000)
+    owner, score, near = topk.search_block(x[asked], rows[asked], far[asked], ids, rows, x, far, bound, 3, np.full(len(asked), np.iinfo(np.int64).min))
+    assert len(merges) <= 4000 // topk._CHUNK + 1
+    found = {q: [(s, n) for o, s, n in zip(owner, score, ids[near], strict=True) if o == q] for q in range(len(asked))}
+    for q, row in enumerate(asked.tolist()):
+        assert found[q] == [(-s, i) for s, i in sorted((-int(x[row] @ x[other]), int(ids[other])) for other in range(4000) if other != row)[:3]]
