@@ -95,6 +95,25 @@ def test_neighbours_come_once_from_a_group_of_parts(spark, monkeypatch):
     assert outputs[1].where("compared IS NULL").count() <= 400 * 5 * neighbours.FEWEST_GROUPS
 
 
+def test_neighbours_are_compared_by_one_product(monkeypatch):
+    """A strip of tested rows takes one product and one comparison with its bounds; ranking all distances took most of the time."""
+    dice = np.random.default_rng(5)
+    for shift, scale in ((0.0, 1.0), (1000.0, 1.0), (0.0, 1e-2), (0.0, 1e18)):
+        x, folds, keys = dice.normal(size=(3000, 20)) * scale + shift, dice.integers(0, 5, 3000), dice.permutation(3000)
+        x[7] = x[8]
+        d = np.round(((x[:300, None, :] - x[None, :, :]) ** 2).sum(axis=2), 9)
+        d[folds[:300, None] == folds[None, :]] = np.inf
+        expected = [np.lexsort((keys, row))[:5].tolist() for row in d]
+        kth = np.sort(d, axis=1)[:, 4]
+        for bounds in (np.sqrt(kth), np.full(300, np.inf)):
+            with monkeypatch.context() as m:
+                if np.isfinite(bounds).all():
+                    m.setattr(np, "partition", None)
+                row, near, distance, compared = neighbours.compare(x[:300], folds[:300], bounds, x, folds, keys, x[5], 5)
+            found = [near[row == r][np.lexsort((keys[near[row == r]], distance[row == r]))].tolist() for r in range(300)]
+            assert found == expected and compared <= 300 * 3000
+
+
 def test_neighbours_prune(spark):
     """On clustered rows far fewer distances than all pairs are worked out, and none is missed."""
     dice = np.random.default_rng(1)
